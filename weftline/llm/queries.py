@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .byte_bpe import op6_byte_bpe
 from .packing import op2_packing
+from .quality import op7_quality
+from .sharding import op5_sharding
 from .token_store import op1_token_store
 
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_packing": op2_packing,
+    "op5_sharding": op5_sharding,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality": op7_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
