@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .byte_bpe import op6_byte_bpe
+from .near_dup import op8_near_dup
 from .packing import op2_packing
+from .pii import op4_pii
 from .quality import op7_quality
 from .sharding import op5_sharding
 from .token_store import op1_token_store
@@ -11,9 +13,11 @@ from .token_store import op1_token_store
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_packing": op2_packing,
+    "op4_pii": op4_pii,
     "op5_sharding": op5_sharding,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality": op7_quality,
+    "op8_near_dup": op8_near_dup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
