@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import ChunkEncoder
+from .words import ChunkEncoder, letters_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -67,7 +67,7 @@ class ByteBPE:
             self.bytes_of[rank] = bytes(map(back.__getitem__, shown))
         self.name_of = list(map(str, range(len(self.bytes_of))))
         dtype = "<u2" if len(self.bytes_of) <= 1 << 16 else "<u4"
-        self.chunks = ChunkEncoder(lambda s: self.library.encode(s, add_special_tokens=False).ids, dtype)
+        self.chunks = ChunkEncoder(lambda s: self.library.encode(s, add_special_tokens=False).ids, dtype, letters=letters_of(self.library, False))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.chunks(text), self.chunks.dtype).tolist()

@@ -96,7 +96,8 @@ SIGNED = "rid long, doc_id long, text string, n_shingles long, digest binary, sh
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rid = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sign(batches):
         for b in batches:
@@ -245,7 +246,7 @@ def compared(batches, k: int, p: int, q: int):
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, few: int = 64, block_bytes: int = 4 << 20) -> DataFrame:
-    """rid, doc_id, text, n_shingles, component_id, kept; links at q * |a & b| >= p * |a | b|.
+    """rid, doc_id, n_shingles, component_id, first (the rid of the one to keep), kept; links at q * |a & b| >= p * |a | b|.
 
     few: classes that a shallow region may hold to be joined as a whole. block_bytes: a group with
     more text is compared in blocks of half of that, pair by pair.
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, few:
     spark = docs.sparkSession
     rows = signed(docs, k)
     narrow = rows.select("rid", "doc_id", "n_shingles", "digest")
-    classes = stored(narrow.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least")), "classes")
+    classes = stored(narrow.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")), "classes")
     reps = rows.select("rid", "shallow", "deep").join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
     parts = stored(reps.select("rid", "shallow", "deep").mapInArrow(regions_of_part, "shallow long, deep long, a long, b long, n long"), "regions")
     across = parts.filter("n > 0").select("shallow", "deep", "a", "n").repartition(partitions(spark), "shallow").mapInArrow(partial(joined_regions, few=few), "a long, b long")
@@ -270,9 +271,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, few:
     joined = components(links)
 
     of_class = classes.select("digest", "least", "cid").join(joined.select(F.col("node").alias("cid"), "root"), "cid", "left").select("digest", "least", F.coalesce("root", "cid").alias("root"))
-    tops = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = of_class.join(tops, "root").select("digest", "component_id")
-    out = narrow.join(of_class, "digest", "left").select("rid", "doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    tops = of_class.groupBy("root").agg(F.min("least").alias("top"))
+    of_class = of_class.join(tops, "root").select("digest", F.col("top.doc_id").alias("component_id"), F.col("top.rid").alias("first"))
+    out = narrow.join(of_class, "digest", "left").select("rid", "doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", "rid").alias("first"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -280,7 +281,7 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, one for each component, with all their columns."""
     names = docs.columns
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    keep = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **options).filter("kept").select(F.col("doc_id").alias("_row"))
+    keep = near_duplicates(rows.select("_row", "doc_id", "text"), **options).filter("rid = first").select(F.col("rid").alias("_row"))
     return rows.join(keep, "_row", "left_semi").select(*names)
 
 

@@ -208,7 +208,7 @@ def merged(spans: np.ndarray, n: int) -> np.ndarray:
 RESULT = "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def cut(batches, length: int, k: int, texts: bool):
+def cut(batches, length: int, k: int, texts: bool, carried: int):
     for b in batches:
         out = []
         for rid, doc, text, full, part in zip(*(b.column(i).to_pylist() for i in range(5))):
@@ -225,14 +225,20 @@ def cut(batches, length: int, k: int, texts: bool):
             out.append((*row, kept.decode("utf-8", "ignore")) if texts else row)
         kinds = (pa.int64(),) * 5 + (pa.string(),) * (2 if texts else 1)
         names = ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names[: len(kinds)])
+        more = [b.column(f"_c{i}") for i in range(carried)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)] + more, names[: len(kinds)] + [f"_c{i}" for i in range(carried)])
 
 
-def repeats_removed(docs: DataFrame, length: int = 100, k: int = 50, texts: bool = False) -> DataFrame:
-    """rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept, without characters of which a part is gone."""
+def repeats_removed(docs: DataFrame, length: int = 100, k: int = 50, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept, without characters of which a part is gone.
+
+    carry: columns of docs that come along, as _c0, _c1, ...
+    """
+    more = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
+    shapes = "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *more)
     name = f"weftline_texts_{uuid.uuid4().hex}"
     rows.repartition(n, "rid").write.bucketBy(n, "rid").option("path", scratch_path(spark, "texts")).option("compression", "zstd").saveAsTable(name)
     rows = spark.table(name)
@@ -245,8 +251,20 @@ def repeats_removed(docs: DataFrame, length: int = 100, k: int = 50, texts: bool
 
     full = marks.filter("gram is null").groupBy("rid").agg(F.collect_list("pos").alias("full"))
     part = part.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("part"))
-    every = rows.join(full, "rid", "left").join(part, "rid", "left").select("rid", "doc_id", "text", "full", "part")
-    return every.mapInArrow(partial(cut, length=length, k=k, texts=texts), RESULT + (", kept string" if texts else ""))
+    every = rows.join(full, "rid", "left").join(part, "rid", "left").select("rid", "doc_id", "text", "full", "part", *[f"_c{i}" for i in range(len(carry))])
+    return every.mapInArrow(partial(cut, length=length, k=k, texts=texts, carried=len(carry)), RESULT + (", kept string" if texts else "") + shapes)
+
+
+def cleaned_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs with the repeats cut out of their texts; all rows and columns stay. A null text stays null."""
+    names = docs.columns
+    carry = tuple(c for c in names if c not in ("doc_id", "text", "n_chars"))
+    docs = docs.withColumn("_null", F.col("text").isNull())
+    out = repeats_removed(docs, texts=True, carry=(*carry, "_null"), **options)
+    text = F.when(~F.col(f"_c{len(carry)}"), F.col("kept"))
+    made = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")}
+    made |= {c: F.col(f"_c{i}") for i, c in enumerate(carry)}
+    return out.select(*[made[c].alias(c) for c in names])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,40 +10,88 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|[\x1c-\x1f\x85]")
+ODD = re.compile("[\x09\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+RUNS = ("  ", "\n\n", " \n", "\n ")
+PROBES = ("The", "of", "Straße", "été", "aninth", "X", "ÀÉ", "tion,", "end.", "a", "Mañana", "sdfkjhweriu")
+
+
+def plain(text: str) -> bool:
+    """Whether single spaces and line feeds between other characters are all the white space."""
+    return not (any(r in text for r in RUNS) or text[0] in " \n" or text[-1] in " \n" or ODD.search(text))
 
 
 class _Table(dict):
-    def __init__(self, encode, lead, dtype, most):
+    """Ids by chunk. Once there are `most` they become the older half, from which those in use come back."""
+
+    def __init__(self, encode, letters, lead, dtype, most):
         super().__init__()
-        self.encode, self.lead, self.dtype, self.most = encode, lead, dtype, most
+        self.encode, self.letters, self.lead, self.dtype, self.most, self.old = encode, letters, lead, dtype, most, {}
+        self.code = "H" if dtype == "<u2" else "I"
 
     def __missing__(self, word):
+        out = self.old.get(word)
+        if out is None:
+            if self.letters and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                out = array(self.code, self.letters(self.lead, word)).tobytes()
+            elif self.letters and word[-1:] in ".," and word[:-1].isalpha():
+                out = self[word[:-1]] + self.bare(word[-1])
+            else:
+                out = np.asarray(self.encode(word if word[:1] == "\n" else self.lead + word), self.dtype).tobytes()
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        text = word if word[:1] == "\n" else self.lead + word
-        out = self[word] = np.asarray(self.encode(text), self.dtype).tobytes()
+        self[word] = out
         return out
 
+    def bare(self, mark):
+        if (0, mark) not in self.old:
+            self.old[0, mark] = np.asarray(self.encode(mark), self.dtype).tobytes()
+        return self.old[0, mark]
+
 
 class ChunkEncoder:
-    """ids of whole texts as bytes of `dtype` (little-endian). most: chunks kept in the table."""
+    """ids of whole texts as bytes of `dtype` (little-endian).
+
+    letters(lead, word): the ids of a word of Latin letters by a shorter way; it is only used
+    if it gives the tokenizer's own ids for the probes. most: chunks in each half of the table.
+    """
 
-    def __init__(self, encode, dtype="<u2", most=500_000, lead=" "):
+    def __init__(self, encode, dtype="<u2", most=300_000, lead=" ", letters=None):
         self.whole, self.dtype = encode, dtype
-        self.table = _Table(encode, lead, dtype, most)
+        self.table = _Table(encode, letters, lead, dtype, most)
+        if letters and any(self.table[w] != self.as_bytes(lead + w) for w in PROBES):
+            self.table = _Table(encode, None, lead, dtype, most)
+
+    def as_bytes(self, text: str) -> bytes:
+        return np.asarray(self.whole(text), self.dtype).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if ODD.search(text):
-            return np.asarray(self.whole(text), self.dtype).tobytes()
+        if not plain(text):
+            return self.as_bytes(text)
         first, *rest = text.replace("\n", " \n").split(" ")
-        head = np.asarray(self.whole(first), self.dtype).tobytes()
-        return head + b"".join(map(self.table.__getitem__, rest))
+        return self.as_bytes(first) + b"".join(map(self.table.__getitem__, rest))
+
+
+def letters_of(t, lower: bool):
+    """The model's ids for a word of Latin letters, without the steps before the model, which only lower-case it or show its bytes as characters."""
+    from tokenizers import pre_tokenizers
+
+    shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    tokenize, names = t.model.tokenize, {c: shown.pre_tokenize_str(c)[0][0] for c in map(chr, (*range(32, 127), *range(160, 256)))}
+
+    def ids(lead, word):
+        text = word.lower() if lower else lead + word
+        if not text.isalpha() or not text.isascii():
+            text = "".join(map(names.__getitem__, text))
+        return [x.id for x in tokenize(text)]
+
+    return ids
 
 
 _made: dict = {}
@@ -64,5 +112,6 @@ def library_encoder(path: str) -> ChunkEncoder:
     if path not in _made:
         t = library_tokenizer(path)
         dtype = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
-        _made[path] = ChunkEncoder(lambda s: t.encode(s, add_special_tokens=False).ids, dtype)
+        lower = t.normalizer is not None and t.normalizer.normalize_str(" A") in (" a", "a")
+        _made[path] = ChunkEncoder(lambda s: t.encode(s, add_special_tokens=False).ids, dtype, letters=letters_of(t, lower))
     return _made[path]
