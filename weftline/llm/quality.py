@@ -75,12 +75,13 @@ def features(docs: DataFrame) -> DataFrame:
 def rules() -> dict[str, tuple[Column, Column]]:
     """(bad if, good if) for each rule; it abstains otherwise. Conditions on no words are null, and so abstentions."""
     n, chars = F.nullif(F.col("n_words"), F.lit(0)), F.nullif(F.col("word_chars"), F.lit(0))
+    lines = F.nullif(F.col("n_lines"), F.lit(0))
     share = lambda a, b: F.col(a) / b
     return {
         "form": (share("n_formed", n) < 0.75, share("n_formed", n) > 0.9),
         "length": (F.col("n_words") < 10, F.col("n_words") >= 50),
         "symbols": (share("n_symbols", n) > 0.1, share("n_symbols", n) < 0.02),
-        "lines": (share("n_dup_lines", F.col("n_lines")) > 0.3, share("n_dup_lines", F.col("n_lines")) < 0.05),
+        "lines": (share("n_dup_lines", lines) > 0.3, share("n_dup_lines", lines) < 0.05),
         "repeats": (share("n_repeat_words", n) > 0.2, share("n_repeat_words", n) < 0.05),
         "word length": ((chars / n < 2) | (chars / n > 14), (chars / n >= 3) & (chars / n <= 10)),
         "capitals": (share("n_upper", chars) > 0.4, share("n_upper", chars) < 0.15),
