@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import paths
-from weftline.operators import costs, graph, profile, regression, schedule
+from weftline.operators import costs, graph, partition, profile, regression, rewire, schedule
 from weftline.sources import workspace as ws
 
 QUERIES: dict = {}
@@ -330,3 +330,68 @@ def proportional_shares(spark: SparkSession, sf: str) -> DataFrame:
 def critical_targets(spark: SparkSession, sf: str) -> DataFrame:
     got = schedule.schedule(*package_graph(spark, sf)).filter("critical")
     return got.select("node", "start_ns", F.row_number().over(Window.orderBy("start_ns", "node")).cast("long").alias("step"))
+
+
+def named_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    text = lambda c: F.col(c).cast("string").alias(c)
+    s = ws.symbols(spark, sf)
+    nodes = s.groupBy(F.col("pkg").cast("string").alias("node")).agg(F.sum("cost_ns").alias("cost_ns"), F.count("*").alias("symbol_count"))
+    return nodes, ws.package_edges(spark, sf).select(text("src"), text("dst"))
+
+
+def as_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("long")
+    return nodes.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), "cost_ns", "symbol_count").union(edges.select("src", "dst", none, none))
+
+
+@query()
+def condense_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    scc = scc_of(spark, sf)
+    nodes = one_graph(scc.groupBy(F.col("scc").alias("node")).agg(F.sum("cost_ns").alias("cost_ns")))
+    edges = one_graph(graph.condensed_edges(ws.references(spark, sf), scc.select("node", "scc")))
+    return partition.partitions(nodes, edges).select("node", "part")
+
+
+SPLIT = SCC_INNER + """, moved(node) AS (SELECT DISTINCT scc FROM scc WHERE pkg = 3 AND scc % 10 = 4 UNION SELECT e.src FROM moved m JOIN inner_edge e ON e.dst = m.node),
+ ms AS (SELECT CAST(coalesce(sum(cost_ns), 0) AS BIGINT) AS c, count(*) AS n FROM scc WHERE scc IN (SELECT node FROM moved)),
+ nodes AS (SELECT CAST(pkg AS VARCHAR) AS a, CAST(sum(cost_ns) AS BIGINT) AS c, count(*) AS n FROM sym GROUP BY pkg), named AS (SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM edge)"""
+
+
+@query(SPLIT + """ SELECT a, CAST(NULL AS VARCHAR) AS b, CASE WHEN a = '3' THEN c - (SELECT c FROM ms) ELSE c END AS cost_ns, CASE WHEN a = '3' THEN n - (SELECT n FROM ms) ELSE n END AS symbol_count FROM nodes
+ UNION ALL SELECT 'new', NULL, c, n FROM ms UNION ALL SELECT src, dst, NULL, NULL FROM (SELECT src, dst FROM named UNION SELECT src, 'new' FROM named WHERE dst = '3' UNION SELECT 'new', dst FROM named WHERE src = '3'
+ UNION SELECT 'new', '3' WHERE EXISTS (SELECT 1 FROM inner_edge WHERE src IN (SELECT node FROM moved) AND dst NOT IN (SELECT node FROM moved)))""")
+def apply_split(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = named_graph(spark, sf)
+    scc = scc_of(spark, sf).filter("graph = 3")
+    parts = graph.cut(scc.groupBy(F.col("scc").alias("node")).agg(F.sum("cost_ns").alias("cost_ns"), F.count("*").alias("symbol_count")))
+    inner = graph.condensed_edges(ws.references(spark, sf), scc.select("node", "scc"))
+    return as_rows(*rewire.split_target(nodes, edges, parts, graph.cut(inner), "3", "new", parts.filter("node % 10 = 4"))[:2])
+
+
+SHATTER = HORIZON + """, grp AS (SELECT node, dense_rank() OVER (ORDER BY horizon) - 1 AS g FROM hz WHERE graph = 3), sg AS (SELECT scc.id, scc.cost_ns, g FROM scc JOIN grp ON grp.node = scc.scc),
+ nm AS (SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM edge)"""
+
+
+@query(SHATTER + """ SELECT CAST(pkg AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b, CAST(sum(cost_ns) AS BIGINT) AS cost_ns, count(*) AS symbol_count FROM sym WHERE pkg <> 3 GROUP BY pkg
+ UNION ALL SELECT '3::group_' || g, NULL, CAST(sum(cost_ns) AS BIGINT), count(*) FROM sg GROUP BY g
+ UNION ALL SELECT src, dst, NULL, NULL FROM (SELECT src, dst FROM nm WHERE src <> '3' AND dst <> '3' UNION SELECT '3::group_' || (SELECT max(g) FROM grp), dst FROM nm WHERE src = '3'
+ UNION SELECT '3::group_' || b.g, '3::group_' || a.g FROM dep JOIN sg a ON a.id = s JOIN sg b ON b.id = t WHERE a.g <> b.g
+ UNION SELECT CAST(t // 40 AS VARCHAR), '3::group_' || a.g FROM dep JOIN sg a ON a.id = s WHERE t // 40 <> 3 UNION SELECT '3::group_' || b.g, CAST(s // 40 AS VARCHAR) FROM dep JOIN sg b ON b.id = t WHERE s // 40 <> 3)""")
+def shatter_graph(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = named_graph(spark, sf)
+    grp = graph.dense_groups(scc_horizon_rows(spark, sf).filter("graph = 3")).select(F.col("node").alias("scc"), "grp")
+    sym = graph.cut(scc_of(spark, sf).filter("graph = 3").join(grp, "scc").select("node", "grp", "cost_ns"))
+    groups = sym.groupBy("grp").agg(F.sum("cost_ns").alias("cost_ns"), F.count("*").alias("symbol_count"))
+    e = ws.references(spark, sf)
+    a, b = sym.select(F.col("node").alias("s"), F.col("grp").alias("to")), sym.select(F.col("node").alias("t"), F.col("grp").alias("at"))
+    inner = e.join(a, "s").join(b, "t").select(F.col("at").alias("src"), F.col("to").alias("dst")).distinct()
+    needs = e.join(a, "s").filter("t div 40 <> 3").select(F.col("to").alias("grp"), F.expr("string(t div 40)").alias("src")).distinct()
+    used = e.join(b, "t").filter("s div 40 <> 3").select(F.col("at").alias("grp"), F.expr("string(s div 40)").alias("dst")).distinct()
+    return as_rows(*rewire.shattered(nodes, edges, groups, inner, needs, used, "3"))
+
+
+@query(""" SELECT symbol, CASE WHEN moved AND dep LIKE '[pkg3/lib]%' THEN '[new/lib]' || substr(dep, 11) ELSE dep END AS dep FROM (SELECT DISTINCT a.path AS symbol, b.path AS dep, b.pkg = 3 AND b.id % 2 = 0 AS moved FROM dep JOIN sym a ON a.id = s JOIN sym b ON b.id = t)""")
+def export_split_deps(spark: SparkSession, sf: str) -> DataFrame:
+    sym = ws.symbols(spark, sf)
+    e = ws.references(spark, sf).join(sym.select(F.col("id").alias("s"), F.col("path").alias("symbol")), "s").join(sym.select(F.col("id").alias("t"), F.col("path").alias("dep")), "t").select("symbol", "dep")
+    return rewire.moved_dependencies(e, sym.filter("pkg = 3 AND id % 2 = 0").select("path"), "pkg3/lib", "new/lib")
