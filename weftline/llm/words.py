@@ -15,13 +15,16 @@ from array import array
 import numpy as np
 
 ODD = re.compile("[\x09\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ODD_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 RUNS = ("  ", "\n\n", " \n", "\n ")
 PROBES = ("The", "of", "Straße", "été", "aninth", "X", "ÀÉ", "tion,", "end.", "a", "Mañana", "sdfkjhweriu")
 
 
 def plain(text: str) -> bool:
     """Whether single spaces and line feeds between other characters are all the white space."""
-    return not (any(r in text for r in RUNS) or text[0] in " \n" or text[-1] in " \n" or ODD.search(text))
+    if any(r in text for r in RUNS) or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not any(c in text for c in ODD_ASCII) if text.isascii() else not ODD.search(text)
 
 
 class _Table(dict):
@@ -60,7 +63,7 @@ class ChunkEncoder:
     if it gives the tokenizer's own ids for the probes. most: chunks in each half of the table.
     """
 
-    def __init__(self, encode, dtype="<u2", most=300_000, lead=" ", letters=None):
+    def __init__(self, encode, dtype="<u2", most=700_000, lead=" ", letters=None):
         self.whole, self.dtype = encode, dtype
         self.table = _Table(encode, letters, lead, dtype, most)
         if letters and any(self.table[w] != self.as_bytes(lead + w) for w in PROBES):
@@ -86,10 +89,10 @@ def letters_of(t, lower: bool):
     tokenize, names = t.model.tokenize, {c: shown.pre_tokenize_str(c)[0][0] for c in map(chr, (*range(32, 127), *range(160, 256)))}
 
     def ids(lead, word):
-        text = word.lower() if lower else lead + word
-        if not text.isalpha() or not text.isascii():
+        text = word.lower() if lower else word
+        if not text.isascii():
             text = "".join(map(names.__getitem__, text))
-        return [x.id for x in tokenize(text)]
+        return [x.id for x in tokenize(text if lower or not lead else names[lead] + text)]
 
     return ids
 
