@@ -186,6 +186,22 @@ def test_contexts_find_more(spark):
     assert len(got[100]) == 2 and not got[200] and not got[0]
 
 
+def test_contexts_find_what_occurs_once(spark):
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "5105105105105100", "4222222222222220"]
+    rows = [(i, f"word{i} card {n} and phone +1 (743) 555-382{i} end of {n} text") for i, n in enumerate(cards)]
+    # the second round knows `badge` only by what `card` and `phone` admitted in the first
+    rows += [(100, "a card 1234567812345678 was lost"), (101, "my phone (743) 555-9999, at home"), (102, "phone 743 555 1111")]
+    rows += [(110 + i, f"card AB-55555{i} or badge AB-55555{i}") for i in range(4)]
+    rows += [(120, "see badge 99887766"), (121, "made of 1234567890123 pieces")]
+    rows += [(300 + i, "a lot of plain words made of nothing " * 100) for i in range(3)] + [(310 + i, f"mail of a{i}@b.example.com") for i in range(6)]
+    # enough seeds that a few unknown instances leave the cues confident
+    rows += [(400 + i, f"card 10.0.0.{i} then phone +1 (743) 556-00{i:02}") for i in range(40)]
+    got = {r.doc_id: r.context for r in pii.detected(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    found = {k: [text[k][s.start : s.end] for s in v] for k, v in got.items() if v}
+    assert found == {100: ["1234567812345678"], 101: ["(743) 555-9999"], 102: ["743 555 1111"], **{110 + i: [f"AB-55555{i}"] * 2 for i in range(4)}, 120: ["99887766"]}
+
+
 def test_nearest(spark):
     rnd = np.random.default_rng(3)
     x = rnd.normal(size=(400, 16))

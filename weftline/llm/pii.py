@@ -1,11 +1,15 @@
 """Operator 4: personal data by fixed patterns, and more of it by bootstrapped contexts.
 
 Four kinds have fixed patterns (email, ip, card, phone). Words that hold a digit or @ are
-candidates. The word to the left of a candidate, with the candidate's shape, is a lexical
-pattern. Candidates at which a fixed pattern found something are the seeds. In each round a
-pattern's confidence is the share of its distinct instances that are known; an instance that
-confident patterns back becomes known. Known instances that no fixed pattern found are added
-as spans of the kind `context`.
+candidates, and so are runs of short groups of digits with one blank between them. The word to
+the left of a candidate (its cue) is a lexical pattern; the cue with the candidate's shape is
+another one, scored apart. Candidates at which a fixed pattern found something are the seeds;
+their instance is the whole span found. In each round a pattern's confidence is the share of its
+distinct instances that are known. An instance becomes known by one confident pattern if the cue
+is specific (candidates follow at least one in twenty of its occurrences in the texts; words like
+"of" are not), else by confident patterns with a shape of two cues. Rounds go on until no instance is new.
+Known instances that no fixed pattern found are added as spans of the kind `context`; one that
+lies in another is left out.
 
 Spans count code points, ends exclusive. Only candidates leave the texts' rows, and the graph
 is summed by pattern and by instance, so that no group's rows come together in one task.
@@ -30,6 +34,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:(?=[\x20-]?[0-9])[0-9\x20-])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+GROUP = r"(?![0-9]++\.[0-9]++\.[0-9]++\.[0-9])(?:[0-9][().+/-]{0,2}+){1,10}+(?=[^\s0-9\p{L}@]*+(?:\s|$))"
+RUN = rf"(?<!\S)[^\s0-9@\p{{L}}+(]*+[+(]*+{GROUP}(?:\x20\(*+{GROUP})++"
 KINDS = ("email", "ip", "card", "phone", "context")
 
 
@@ -92,13 +98,14 @@ def with_matches(df: DataFrame, patterns: dict[str, str], may: dict[str, Column]
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, the base spans by kind, and the candidates (start, end, instance, pattern, context, long, seed, inside); stored."""
+    """rid, doc_id, the base spans by kind, and the candidates (start, end, instance, cue, pattern, context, long); stored."""
     t = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     text = F.col("t")
-    may = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][0-9\x20-]"), "phone": F.contains(text, F.lit("+")), "cand": text.rlike("[0-9@]")}
-    t = with_matches(t, {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "cand": CANDIDATE}, may)
-    t = t.withColumns({k: F.transform(F.filter(k, holding(k)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS[:4]})
+    may = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][0-9\x20-]"), "phone": F.contains(text, F.lit("+")), "cand": text.rlike("[0-9@]"), "run": text.rlike(r"[0-9().+/-]\x20\(*+[0-9]")}
+    t = with_matches(t, {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "cand": CANDIDATE, "run": RUN}, may)
+    t = t.withColumns({k: F.transform(F.filter(k, holding(k)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(x["what"]).alias("instance"))) for k in KINDS[:4]})
     t = t.withColumn("every", F.flatten(F.array(*[F.col(k) for k in KINDS[:4]])))
+    t = t.withColumns({k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS[:4]})
 
     def trimmed(x):
         rest = F.regexp_replace(x["what"], r"^[^\p{L}0-9+(@]++", "")
@@ -108,37 +115,54 @@ def scanned(docs: DataFrame) -> DataFrame:
     def shaped(c):
         shape = F.when(c["core"].rlike(r"^[0-9a-f]{16,}+$"), F.lit("hex")).otherwise(F.substring(F.regexp_replace(F.regexp_replace(c["core"], r"[0-9]++", "9"), r"\p{L}++", "a"), 1, 12))
         long = F.length(F.regexp_replace(c["core"], r"[^\p{L}0-9]++", "")) >= 6
-        return F.struct(c["start"].alias("start"), (c["start"] + F.length(c["core"])).alias("end"), F.xxhash64(c["core"]).alias("instance"), F.xxhash64(c["word"], shape).alias("pattern"), (c["word"] != "").alias("context"), long.alias("long"))
+        return F.struct(c["start"].alias("start"), (c["start"] + F.length(c["core"])).alias("end"), F.xxhash64(c["core"]).alias("instance"), F.xxhash64(c["word"]).alias("cue"), F.xxhash64(c["word"], shape).alias("pattern"), (c["word"] != "").alias("context"), long.alias("long"))
 
-    t = t.withColumn("cand", F.transform("cand", trimmed)).withColumn("cand", F.transform("cand", shaped))
-    return stored(t.select("rid", "doc_id", *KINDS[:4], "every", F.col("cand").alias("cands")), "scanned")
+    t = t.withColumns({k: F.transform(k, trimmed) for k in ("cand", "run")}).withColumns({k: F.transform(k, shaped) for k in ("cand", "run")})
+    # where a run starts, the cue is the run's, not that of its first word
+    t = t.withColumn("heads", F.transform("run", lambda c: c["start"]))
+    t = t.withColumn("cand", F.transform("cand", lambda c: c.withField("context", c["context"] & ~F.array_contains("heads", c["start"]))))
+    return stored(t.select("rid", "doc_id", *KINDS[:4], "every", F.concat("cand", "run").alias("cands")), "scanned")
 
 
 def candidates(scan: DataFrame) -> DataFrame:
-    """A row for each candidate; seed: a base span starts there; inside: one covers part of it."""
+    """A row for each candidate; seed: a base span starts there, whose text is the instance then; inside: one covers part of it."""
     c = scan.filter(F.size("cands") > 0).select("rid", "every", F.explode("cands").alias("c")).select("rid", "every", "c.*")
     over = lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])
-    return c.select("rid", "start", "end", "instance", "pattern", "context", "long", F.exists("every", lambda s: over(s) & (F.col("start") <= s["start"] + 1)).alias("seed"), F.exists("every", over).alias("inside"))
+    c = c.withColumn("base", F.get(F.filter("every", lambda s: over(s) & (F.col("start") <= s["start"] + 1)), F.lit(0))["instance"])
+    return c.select("rid", "start", "end", F.coalesce("base", "instance").alias("instance"), "cue", "pattern", "context", "long", F.col("base").isNotNull().alias("seed"), F.exists("every", over).alias("inside"))
 
 
-def discovered(scan: DataFrame, rounds: int = 2, least_known: int = 3, confidence: float = 0.8, backing: int = 2) -> DataFrame:
+def specific_cues(c: DataFrame, texts: DataFrame, least: int, specific: float) -> DataFrame:
+    """cue of those with at least so many distinct instances, which follow at least the given share of the word's occurrences in text."""
+    cues = c.groupBy("cue", "instance").agg(F.count("*").alias("k")).groupBy("cue").agg(F.count("*").alias("n"), F.sum("k").alias("hits")).filter(F.col("n") >= least)
+    words = texts.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).select(F.xxhash64("word").alias("cue"))
+    occurs = words.groupBy("cue").agg(F.count("*").alias("occurs"))  # summed before the join, so that each part sends a word once
+    return cues.join(occurs, "cue").filter(F.col("hits") >= specific * F.col("occurs")).select("cue")
+
+
+def discovered(scan: DataFrame, texts: DataFrame, least_known: int = 3, confidence: float = 0.8, specific: float = 0.05, backing: int = 2) -> DataFrame:
     """rid, start, end of candidates outside the base spans whose instance became known.
 
     A pattern is confident with least_known distinct known instances that make up the given
-    share of its distinct instances. An instance becomes known if that many confident patterns have it.
+    share of its distinct instances. An instance becomes known if a confident pattern with a
+    specific cue has it, or confident patterns with a shape of that many cues (backing). texts: text of all rows.
     """
     c = stored(candidates(scan), "candidates")
-    edges = c.filter("context and (seed or not inside)").groupBy("pattern", "instance").agg(F.max("seed").alias("known"), F.max("long").alias("long"))
+    used = c.filter("context and (seed or not inside)")
+    sure = stored(specific_cues(used, texts, least_known, specific).withColumn("sure", F.lit(True)), "cues")
+    edges = used.select("cue", F.explode(F.array("cue", "pattern")).alias("pattern"), "instance", "seed", "long").groupBy("cue", "pattern", "instance").agg(F.max("seed").alias("known"), F.max("long").alias("long"))
     # an instance that is a seed anywhere is known everywhere
     seeds = edges.groupBy("instance").agg(F.max("known").alias("known"), F.max("long").alias("long"))
-    edges = stored(edges.select("pattern", "instance").join(seeds, "instance"), "edges")
-    for _ in range(rounds):
-        good = edges.groupBy("pattern").agg(F.sum(F.col("known").cast("long")).alias("f"), F.count("*").alias("n")).filter((F.col("f") >= least_known) & (F.col("f") >= confidence * F.col("n"))).select("pattern")
-        new = edges.join(good, "pattern", "left_semi").filter("not known and long").groupBy("instance").agg(F.count("*").alias("k")).filter(F.col("k") >= backing).select("instance", F.lit(True).alias("new"))
-        edges = stored(edges.join(new, "instance", "left").select("instance", "pattern", (F.col("known") | F.coalesce("new", F.lit(False))).alias("known"), "long", F.coalesce("new", F.lit(False)).alias("fresh")), "edges")
-        if edges.filter("fresh").limit(1).count() == 0:
+    edges = stored(edges.select("cue", "pattern", "instance").join(seeds, "instance"), "edges")
+    while True:
+        good = edges.groupBy("cue", "pattern").agg(F.sum(F.col("known").cast("long")).alias("f"), F.count("*").alias("n")).filter((F.col("f") >= least_known) & (F.col("f") >= confidence * F.col("n")))
+        good = good.join(sure, "cue", "left").filter("sure or pattern != cue").select("pattern", F.coalesce("sure", F.lit(False)).alias("sure"))
+        backed = edges.filter("not known and long").join(good, "pattern").groupBy("instance", "cue").agg(F.max("sure").alias("sure"))
+        new = backed.groupBy("instance").agg(F.max("sure").alias("sure"), F.count("*").alias("k")).filter(F.col("sure") | (F.col("k") >= backing)).select("instance", F.lit(True).alias("new"))
+        new = stored(new, "new")
+        if new.isEmpty():
             break
-        edges = edges.drop("fresh")
+        edges = stored(edges.join(new, "instance", "left").select("cue", "pattern", "instance", (F.col("known") | F.coalesce("new", F.lit(False))).alias("known"), "long"), "edges")
     known = edges.filter("known and long").select("instance").distinct()
     return c.filter("not inside and long").select("rid", "start", "end", "instance").join(known, "instance", "left_semi").select("rid", "start", "end")
 
@@ -146,7 +170,9 @@ def discovered(scan: DataFrame, rounds: int = 2, least_known: int = 3, confidenc
 def detected(docs: DataFrame) -> DataFrame:
     """rid, doc_id, and for each kind an array of (start, end) in order."""
     scan = scanned(docs)
-    more = discovered(scan).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("context"))
+    more = discovered(scan, docs.select("text")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("c"))
+    within = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    more = more.select("rid", F.filter("c", lambda s: ~F.exists("c", lambda o: within(s, o))).alias("context"))
     return scan.drop("cands", "every").join(more, "rid", "left").withColumn("context", F.coalesce("context", F.array()))
 
 
