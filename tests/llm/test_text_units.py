@@ -145,3 +145,15 @@ def test_anchors_meet():
     a, b = b"0" * 150 + shared + b"1" * 90, b"2" * 33 + shared + b"3" * 120
     owner, pos, gram, _ = suffix_dedup.anchors([a, b], 100, 50)
     assert {(p - 150) for o, p in zip(owner, pos) if o == 0 and 150 <= p <= 200} & {(p - 33) for o, p in zip(owner, pos) if o == 1 and 33 <= p <= 83}
+
+
+@pytest.mark.parametrize("p, common, a, b", [(80, 8, 1, 1), (85, 17, 1, 2)])
+def test_links_at_the_similarity_meet(p, common, a, b):
+    rnd, sets = np.random.default_rng(11), []
+    for _ in range(12_000):
+        h = rnd.integers(1 << 63, size=common + a + b, dtype=np.uint64)
+        sets += [h[: common + a], np.concatenate([h[:common], h[common + a :]])]
+    trees, depth = near_dup.forest(p, 100)
+    _, deep = near_dup.prefixes(sets, trees, depth)
+    assert (~(deep[::2] == deep[1::2]).any(axis=1)).sum() <= 2
+    assert near_dup.forest(85, 100) == (24, 6)

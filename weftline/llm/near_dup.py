@@ -10,8 +10,9 @@ group of near copies takes about linear time: members close to the centre are li
 one of them, and only the others are looked up by the shingles in which they differ. A group
 beyond a size in bytes is dealt into blocks, and each pair of blocks is compared on its own.
 
-A link at the similarity is missed if no tree joins it: with 24 trees of depth 6, about 1 in
-100,000 at 0.85, and fewer where regions are sparse. Sets are sets of 64-bit hashes.
+A link at the similarity is missed if no tree joins it. The number of trees and the deep depth
+follow from the similarity, so that this happens to 1.2 in 100,000 links at most (24 trees of depth
+6 at 0.85, 29 of depth 5 at 0.8), and to fewer where regions are sparse. Sets are sets of 64-bit hashes.
 
 Nulls and ties: a document without text or words has an empty set and is linked with nothing.
 Equal rows are linked; rows with the same doc_id are rows of their own. A null doc_id counts as
@@ -21,6 +22,7 @@ larger than all others. An empty table gives none. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from functools import partial
 
@@ -34,7 +36,7 @@ from .components import components, union
 from .scratch import partitions, stored
 
 SPACES = re.compile("[\x20\x09-\x0d]+")
-TREES, SHALLOW, DEEP = 24, 4, 6
+SHALLOW, DEEP, MOST_TREES, MISS = 4, 6, 32, 1.2e-5
 LOWER = {c: c + 32 for c in range(65, 91)}
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -75,18 +77,28 @@ def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rnd.integers(1 << 62, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rnd.integers(1 << 63, size=n, dtype=np.uint64)
 
 
-def prefixes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each set (none empty) and tree the hash of the signature's first SHALLOW and first DEEP values."""
+def forest(p: int, q: int) -> tuple[int, int]:
+    """Trees and deep depth for links at p / q: the deepest whose trees, MOST_TREES at most, miss a link at p / q with a chance of MISS; at depth 1 as many as that takes."""
+    for deep in range(DEEP, 0, -1):
+        met = min(1 - 1e-9, (p / q) ** deep)
+        trees = math.ceil(math.log(MISS) / math.log1p(-met))
+        if trees <= MOST_TREES:
+            break
+    return trees, deep
+
+
+def prefixes(sets: list[np.ndarray], trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set (none empty) and tree the hash of the signature's first SHALLOW (depth at most) and first depth values."""
     every, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    mul, add = multipliers(TREES * DEEP)
-    shallow, deep = np.zeros((len(sets), TREES), np.uint64), np.zeros((len(sets), TREES), np.uint64)
-    for t in range(TREES):
+    mul, add = multipliers(trees * depth)
+    shallow, deep = np.zeros((len(sets), trees), np.uint64), np.zeros((len(sets), trees), np.uint64)
+    for t in range(trees):
         key = np.full(len(sets), t, np.uint64)
-        for d in range(DEEP):
-            j = t * DEEP + d
+        for d in range(depth):
+            j = t * depth + d
             low = np.minimum.reduceat((every ^ add[j]) * mul[j], at)
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + low)
-            if d + 1 == SHALLOW:
+            if d + 1 == min(SHALLOW, depth):
                 shallow[:, t] = key
         deep[:, t] = key
     return shallow, deep
@@ -95,7 +107,7 @@ def prefixes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 SIGNED = "rid long, doc_id long, text string, n_shingles long, digest binary, shallow array<long>, deep array<long>"
 
 
-def signed(docs: DataFrame, k: int) -> DataFrame:
+def signed(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
     rid = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
     rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -108,7 +120,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 full = [i for i, s in enumerate(sets) if len(s)]
                 low, deep = [None] * len(sets), [None] * len(sets)
                 if full:
-                    a, c = prefixes([sets[i] for i in full])
+                    a, c = prefixes([sets[i] for i in full], trees, depth)
                     for j, i in enumerate(full):
                         low[i], deep[i] = a[j].view(np.int64), c[j].view(np.int64)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -118,17 +130,17 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return stored(rows.mapInArrow(sign, SIGNED), "signed")
 
 
-def regions_of_part(batches):
+def regions_of_part(batches, trees: int):
     """What a part knows: links between its classes of one deep region, and for each region its first class and their number."""
-    rids, shallow, deep = [np.zeros(0, np.int64)], [np.zeros((0, TREES), np.int64)], [np.zeros((0, TREES), np.int64)]
+    rids, shallow, deep = [np.zeros(0, np.int64)], [np.zeros((0, trees), np.int64)], [np.zeros((0, trees), np.int64)]
     for b in batches:
         if b.num_rows:
             rids.append(b.column(0).to_numpy())
-            shallow.append(b.column(1).flatten().to_numpy().reshape(-1, TREES))
-            deep.append(b.column(2).flatten().to_numpy().reshape(-1, TREES))
+            shallow.append(b.column(1).flatten().to_numpy().reshape(-1, trees))
+            deep.append(b.column(2).flatten().to_numpy().reshape(-1, trees))
     rids, shallow, deep = map(np.concatenate, (rids, shallow, deep))
     out = []
-    for t in range(TREES if len(rids) else 0):
+    for t in range(trees if len(rids) else 0):
         order = np.lexsort((rids, deep[:, t]))
         key = deep[order, t]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -252,11 +264,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, few:
     more text is compared in blocks of half of that, pair by pair.
     """
     spark = docs.sparkSession
-    rows = signed(docs, k)
+    trees, depth = forest(p, q)
+    rows = signed(docs, k, trees, depth)
     narrow = rows.select("rid", "doc_id", "n_shingles", "digest")
     classes = stored(narrow.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")), "classes")
     reps = rows.select("rid", "shallow", "deep").join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
-    parts = stored(reps.select("rid", "shallow", "deep").mapInArrow(regions_of_part, "shallow long, deep long, a long, b long, n long"), "regions")
+    parts = stored(reps.select("rid", "shallow", "deep").mapInArrow(partial(regions_of_part, trees=trees), "shallow long, deep long, a long, b long, n long"), "regions")
     across = parts.filter("n > 0").select("shallow", "deep", "a", "n").repartition(partitions(spark), "shallow").mapInArrow(partial(joined_regions, few=few), "a long, b long")
     groups = stored(components(parts.filter("n = 0").select("a", "b").union(across)), "groups")
 
