@@ -223,6 +223,13 @@ def test_nearest(spark):
     assert hamming_index.nearest(two, two).count() == 2
 
 
+def test_repeated_neighbours_are_rows(spark):
+    rows = [(i, [float(i), 1.0, 2.0, 3.0]) for i in range(4)]
+    df = spark.createDataFrame(rows + [rows[1], rows[0]], "vec_id long, embedding array<double>")
+    got = hamming_index.nearest(df, df.filter("vec_id = 0"), k=3).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 1.0), (2, 1, 1.0), (3, 2, 2.0)]
+
+
 def test_pages(spark):
     rows = [(1, "u", "<article><p>Hello &amp; welcome to the page of text.</p></article>", "x"), (None, None, None, "x"), (2, "v", "", "x"), (2, "v", "", "x")]
     got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

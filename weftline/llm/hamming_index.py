@@ -14,7 +14,7 @@ vectors have equal codes and take each other's place in no way: each is a row.
 
 Nulls and ties: vectors null, empty, zero, of another length than most of the sample, or with
 null or non-finite components take no part; a null id takes no part. Ties go to the smaller id. A
-repeated id is a row of its own, but never its own neighbour. Fewer candidates give fewer rows;
+repeated id is a row of its own, but never its own neighbour; a repeated query is asked once. Fewer candidates give fewer rows;
 an empty table gives none. Other columns are ignored.
 """
 
@@ -147,7 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64,
     m = min(m, bits)
     codes = Codes.fit(sample, bits)
 
-    asked = stored(clean(queries).filter(F.size("embedding") == dims), "queries")
+    asked = stored(clean(queries).filter(F.size("embedding") == dims).distinct(), "queries")
     pages = max(1, -(-asked.count() // page))
     found = None
     for i in range(pages):
@@ -157,7 +157,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64,
         got = rows.mapInArrow(partial(searched, codes=codes, bits=bits, m=m, k=k, queries=block, enough=k), FOUND)
         found = got if found is None else found.union(got)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    best = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
