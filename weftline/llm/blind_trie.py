@@ -69,8 +69,7 @@ class BlindTrie:
 def deep_shallow(strings: list[bytes], shallow: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """order and lcp: order sorts the strings; lcp[i] is the common prefix of the strings at order[i - 1] and order[i].
 
-    Multikey quicksort, eight bytes a key, orders the strings to the shallow depth (a multiple of
-    8); a blind trie orders what is still equal there. Equal strings keep their order.
+    A lexsort over eight-byte keys orders the strings to the shallow depth (a multiple of 8); a blind trie orders what is still equal there. Equal strings keep their order.
     """
     n = len(strings)
     if not n:

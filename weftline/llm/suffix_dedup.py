@@ -8,8 +8,8 @@ place in it, and it is enough to sort the suffixes at anchors whose k-gram occur
    it could take up). Of equal contexts only the first occurrence goes on; the others are
    covered as a whole. Each part does that on its own before anything is moved.
 2. Where one k-gram has several contexts, the first occurrence of each is sorted by the bytes
-   from the anchor on, and by the bytes before it in reverse: multikey quicksort to a shallow
-   depth, blind tries for what is still equal there. The common prefixes of neighbours tell
+   from the anchor on, and by the bytes before it in reverse: a lexsort of eight-byte keys to a
+   shallow depth, blind tries for what is still equal there. The common prefixes of neighbours tell
    which occurrences agree to any depth on both sides, and so which strings occur before.
 3. The covered stretches of each text are joined and cut out.
 
