@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.functions import paths
@@ -47,6 +48,21 @@ def test_exact_fit_and_outliers(spark):
     assert zero["coefficients"][1] == 0
 
 
+def test_robust_scale_and_score_over_all_rows(spark):
+    rnd = np.random.default_rng(5)
+    m = rnd.uniform(1, 9, (6000, 2))
+    v = m @ [3.0, 2.0] + rnd.normal(size=6000) * rnd.choice([0.1, 40.0], 6000, p=[0.8, 0.2])
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(m, v)], "a double, b double, y double")
+    fit = regression.robust(df, ["a", "b"], "y")
+    residual = np.abs(v - m @ np.linalg.lstsq(m, v, rcond=None)[0])
+    assert math.isclose(fit["inlier_threshold"], np.quantile(residual, 0.9, method="nearest"), rel_tol=1e-9)
+    assert all(math.isclose(x, w, rel_tol=0.05) for x, w in zip(fit["coefficients"], (3, 2)))
+    fits, scale = np.array([[3.0, 2.0], [1.0, 1.0]]), 2.0
+    got = list(regression._losses(df.toArrow().to_batches(max_chunksize=700), fits, scale))[0]
+    want = [(1 - regression._weights(np.abs(v - m @ f), scale)).sum() for f in fits]
+    assert np.allclose(got.column(1).to_numpy(), want)
+
+
 def test_profile_nesting(spark):
     rows = [(1, 1, "a", 0, 100), (1, 2, "b", 10, 40), (1, 3, "c", 20, 30), (1, 4, "self_profile_x", 50, 60), (2, 5, "d", 0, 5)]
     e = spark.createDataFrame(rows, "thread long, event_id long, label string, start_ns long, end_ns long")

@@ -1,16 +1,18 @@
 """Cost models: linear regression without intercept over a few predictors.
 
 Sums of products are one aggregation over the rows; only they come to the driver, so that the
-fit takes any number of rows. The robust fit draws hypotheses from a bounded sample and weighs
-all rows in each reweighting step by one more aggregation.
+fit takes any number of rows. The robust fit draws hypotheses from a bounded sample; its scale,
+the loss of each hypothesis and each reweighting step are aggregations over all rows.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,10 +67,19 @@ def robust(rows: DataFrame, x: list[str], y: str, sample_rows: int = 2000, draws
     Marginalised consensus (MAGSAC++): each residual is weighed by its likelihood summed over all
     noise scales up to a largest one, so that no inlier threshold has to be given. Hypotheses
     are exact fits of minimal subsets: all of them if there are few, else a fixed number of seeded
-    draws from a bounded sample (a documented parameter). The best one is refined by reweighted
-    least squares over all rows.
+    draws from a bounded sample (a documented parameter). The scale is a quantile of the residuals
+    of all rows, and the loss that ranks the hypotheses is summed over all rows. The best one is
+    refined by reweighted least squares over all rows.
     """
     k = len(x)
+    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in [*x, y]]).persist()
+    try:
+        return _robust(rows, x, y, k, sample_rows, draws, steps)
+    finally:
+        rows.unpersist()
+
+
+def _robust(rows: DataFrame, x: list[str], y: str, k: int, sample_rows: int, draws: int, steps: int) -> dict | None:
     n = rows.count()
     if n < k + 1:
         return None
@@ -78,14 +89,13 @@ def robust(rows: DataFrame, x: list[str], y: str, sample_rows: int = 2000, draws
     subsets = list(itertools.combinations(range(len(m)), k)) if math.comb(len(m), k) <= draws else [np.random.default_rng(i).choice(len(m), k, replace=False) for i in range(draws)]
     pa, pb, _ = products(rows, x, y)
     start = solve(pa, pb)
+    scale = nth(rows.select(F.abs(F.col(y) - prediction(x, start)).alias("v")), round(0.9 * (n - 1))) or 1.0
+    fits = np.array([start, *(np.linalg.lstsq(a[list(s)], b[list(s)], rcond=None)[0] for s in subsets)])
+    sums = rows.mapInArrow(partial(_losses, fits=fits, scale=scale), "i int, loss double").groupBy("i").agg(F.sum("loss").alias("loss")).orderBy("i").collect()
     best, least = start, math.inf
-    scale = float(np.quantile(np.abs(b - a @ start), 0.9, method="nearest")) or 1.0
-    for s in [None, *subsets]:
-        s = None if s is None else list(s)
-        c = start if s is None else np.linalg.lstsq(a[s], b[s], rcond=None)[0]
-        loss = float((1 - _weights(np.abs(b - a @ c), scale)).sum())
-        if loss < least - 1e-12:
-            best, least = c, loss
+    for r in sums:
+        if r.loss < least - 1e-12 * n:
+            best, least = fits[r.i], r.loss
     for _ in range(steps):
         r = F.abs(F.col(y) - prediction(x, best)) / scale
         pa, pb, live = products(rows, x, y, F.when(r < 1, F.pow(1 - r * r, F.lit(2))).otherwise(0.0))
@@ -96,6 +106,30 @@ def robust(rows: DataFrame, x: list[str], y: str, sample_rows: int = 2000, draws
     return {"coefficients": best.tolist(), "r_squared": r_squared(inliers, x, y, best), "inlier_threshold": scale}
 
 
+def nth(values: DataFrame, i: int, bins: int = 1024) -> float:
+    """The value of v at i in order, from 0: counts by bins between the least and the largest, then within the bin that holds it."""
+    lo, hi = values.agg(F.min("v"), F.max("v")).first()
+    while lo < hi and math.isfinite(hi - lo):
+        at = F.least(F.floor((F.col("v") - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        for r in values.filter(F.col("v").between(lo, hi)).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("at").collect():
+            if i < r.n:
+                lo, hi = r.lo, r.hi
+                break
+            i -= r.n
+    return lo
+
+
+def _losses(batches, fits: np.ndarray, scale: float, block: int = 256):
+    """The summed loss of each fit over a part; columns: the predictors, then the response."""
+    out = np.zeros(len(fits))
+    for batch in batches:
+        m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        for lo in range(0, len(fits), block):
+            r = np.abs(m[:, -1:] - m[:, :-1] @ fits[lo : lo + block].T)
+            out[lo : lo + block] += (1 - _weights(r, scale)).sum(axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(fits)), pa.int32()), pa.array(out)], ["i", "loss"])
+
+
 def _weights(r: np.ndarray, top: float) -> np.ndarray:
     q = np.clip(1 - (r / top) ** 2, 0, None)
     return q * q
