@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import ChunkEncoder, letters_of
+from .held import held
+from .words import ChunkEncoder, in_slices, letters_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -99,13 +100,8 @@ class ByteBPE:
             yield text
 
 
-_made: dict = {}
-
-
 def byte_bpe(path: str, pattern: str) -> ByteBPE:
-    if (path, pattern) not in _made:
-        _made[path, pattern] = ByteBPE(path, pattern)
-    return _made[path, pattern]
+    return held(("ranks", path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -139,10 +135,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         bpe = byte_bpe(path, pattern)
-        for b in batches:
+        for b in in_slices(batches):
             n, names, back = [], [], []
-            for text in b.column(1).to_pylist():
-                ids = bpe.encode(text)
+            for raw in bpe.chunks.batch(b.column(1).to_pylist()).to_pylist():
+                ids = np.frombuffer(raw, bpe.chunks.dtype).tolist()
                 n.append(len(ids))
                 names.append(hashlib.sha256(",".join(map(bpe.name_of.__getitem__, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

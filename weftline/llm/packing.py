@@ -20,11 +20,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import stored
-from .words import library_encoder
+from .words import in_slices, library_encoder
 
 TOKENS = "rid long, doc_id long, n_tokens long, ids binary"
 
@@ -36,9 +37,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def encode(batches):
         enc = library_encoder(tokenizer)
         width, end = int(enc.dtype[-1]), np.asarray([end_id], enc.dtype).tobytes()
-        for b in batches:
-            ids = [enc(t) + end for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["rid", "doc_id", "n_tokens", "ids"])
+        for b in in_slices(batches):
+            ids = enc.batch(b.column(2).to_pylist(), end)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), width), ids], ["rid", "doc_id", "n_tokens", "ids"])
 
     return stored(rows.mapInArrow(encode, TOKENS), "tokens")
 

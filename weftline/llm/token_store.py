@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
 from .scratch import partitions, scratch_path
-from .words import library_encoder
+from .words import in_slices, library_encoder
 
 MAGIC = b"WTS1"
 HEAD = struct.Struct("<4sBxxxIq")
@@ -83,9 +83,8 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         def row():
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()), "base": [base], "n_docs": [len(keys)], "n_tokens": [size], "blob": pa.array([pack_segment(keys, pieces, width)], pa.binary())})
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc(text) + end
+        for batch in in_slices(batches):
+            for key, ids in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1).to_pylist(), end).to_pylist()):
                 keys.append(key)
                 pieces.append(ids)
                 size += len(ids) // width
