@@ -14,13 +14,14 @@ from weftline.llm.words import library_tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = "The quick brown fox jumps over the lazy dog while seven wise owls watch from the old oak tree near the river bank at dusk and nobody says a word about it until the morning comes again"
-SCHEMA = "doc_id long, text string, lang string, rid long, size long, shard int, _c0 string, rest double"
+SCHEMA = "doc_id long, text string, lang string, rid long, size long, shard int, _c0 string, rest double, row string, _row string, no_text boolean, spans int, head binary, `a.b` string"
+MORE = ("r", "same", True, 1, b"h", "d")
 
 
 def fixture_rows():
     texts = [BASE, BASE, BASE.replace("owls", "cats"), BASE.upper(), None, "", " \n\t ", "one", "two words", "x" * 30_000, "Mail a.b@c.example.com or +1 (212) 555-1234, 10.0.0.1, 4111 1111 1111 1111.", "same line\nsame line\nsame line", "Prefix é " + BASE + " suffix", "a b c d e f g h i j a b c d e", "### *** $$$ " * 12]
-    rows = [(i, t, "en", -i, 7, 3, "c", 0.5) for i, t in enumerate(texts)]
-    return rows + [(None, BASE, None, None, None, None, None, None), (2, texts[2], "en", 1, 1, 1, "c", 1.0)]
+    rows = [(i, t, "en", -i, 7, 3, "c", 0.5, *MORE) for i, t in enumerate(texts)]
+    return rows + [(None, BASE, *[None] * 12), (2, texts[2], "en", 1, 1, 1, "c", 1.0, *MORE)]
 
 
 @pytest.fixture(scope="module")
@@ -111,6 +112,7 @@ def test_quality(docs, none):
     assert all(r.kept for r in got if r.doc_id in (0, 1, 2))
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+    assert {tuple(r)[8:] for r in kept.filter("doc_id is not null").collect()} == {MORE}
     assert quality.judged(none).count() == 0
 
 
@@ -140,10 +142,15 @@ def test_near_duplicates(docs, none):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs, k=3, p=80, block_bytes=256).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     kept = near_dup.kept_documents(docs, k=3, p=80)
+    assert {tuple(r)[8:] for r in kept.filter("doc_id is not null").collect()} == {MORE}
     assert kept.columns == docs.columns and kept.count() == len({(r if sets[i] else ("alone", i)) for i, r in enumerate(root)})
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def spark_of(df):
+    return df.sparkSession
+
+
 def brute_repeats(rows):
     seen, out = set(), []
     for k, t, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -162,7 +169,12 @@ def brute_repeats(rows):
 def test_repeats(docs, none):
     got = [tuple(r) for r in suffix_dedup.repeats_removed(docs).drop("rid").collect()]
     assert sorted(got, key=repr) == sorted(brute_repeats(fixture_rows()), key=repr)
+    got = [tuple(r) for r in suffix_dedup.repeats_removed(docs, crowd=1).drop("rid").collect()]
+    assert sorted(got, key=repr) == sorted(brute_repeats(fixture_rows()), key=repr)
+    assert not [t for t in spark_of(docs).catalog.listTables() if t.name.startswith("weftline")]
     cleaned = suffix_dedup.cleaned_documents(docs)
+    others = lambda df: sorted((tuple(r) for r in df.drop("text").collect()), key=repr)
+    assert others(cleaned) == others(docs)
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
     assert cleaned.filter("text is null").count() == 1
     assert suffix_dedup.repeats_removed(none).count() == 0
@@ -177,6 +189,8 @@ def test_personal_data(docs, none):
     out = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
     assert out[10] == "Mail [EMAIL] or [PHONE], [IP], [CARD]." and out[0] == BASE and out[4] is None
     assert pii.detected(none).count() == 0
+    others = lambda df: sorted((tuple(r) for r in df.drop("text").collect()), key=repr)
+    assert others(pii.redacted(docs)) == others(docs)
 
 
 def test_contexts_find_more(spark):

@@ -66,22 +66,45 @@ class BlindTrie:
         return out, lcps
 
 
+def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
+    """The order of rows of keys, equal rows as they come.
+
+    A range of rows is parted by its middle row's key into smaller, equal and larger ones; the
+    equal ones go on at the next key. All ranges of a round are parted at once.
+    """
+    n, width = keys.shape
+    order, lo, size, depth = np.arange(n), np.zeros(1, np.int64), np.array([n]), np.zeros(1, np.int64)
+    while True:
+        open_ = (size > 1) & (depth < width)
+        lo, size, depth = lo[open_], size[open_], depth[open_]
+        if not len(lo):
+            return order
+        group = np.repeat(np.arange(len(lo)), size)
+        place = np.arange(len(group)) + np.repeat(lo - (np.cumsum(size) - size), size)
+        rows = order[place]
+        key, pivot = keys[rows, depth[group]], keys[order[lo + size // 2], depth][group]
+        side = 3 * group + 1 + (key > pivot) - (key < pivot)
+        order[place] = rows[np.argsort(side, kind="stable")]
+        counts = np.bincount(side, minlength=3 * len(lo))
+        lo = np.repeat(lo - (np.cumsum(size) - size), 3) + np.cumsum(counts) - counts
+        size, depth = counts, (depth[:, None] + np.array([0, 1, 0])).ravel()
+
+
 def deep_shallow(strings: list[bytes], shallow: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """order and lcp: order sorts the strings; lcp[i] is the common prefix of the strings at order[i - 1] and order[i].
 
-    A lexsort over eight-byte keys orders the strings to the shallow depth (a multiple of 8); a blind trie orders what is still equal there. Equal strings keep their order.
+    Multikey quicksort with eight-byte keys orders the strings to the shallow depth (a multiple of 8); a blind trie orders what is still equal there. Equal strings keep their order.
     """
     n = len(strings)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    width = shallow // 8
     head = np.zeros((n, shallow), np.uint8)
     size = np.array([len(s) for s in strings])
     joined = np.frombuffer(b"".join(s[:shallow] for s in strings), np.uint8)
     head[np.arange(shallow) < np.minimum(size, shallow)[:, None]] = joined
     keys = head.view(">u8").astype(np.uint64)
     clipped = np.minimum(size, shallow)
-    order = np.lexsort([clipped, *(keys[:, j] for j in range(width - 1, -1, -1))])
+    order = multikey_quicksort(np.column_stack([keys, clipped.astype(np.uint64)]))  # where one string ends, padding looks like zeros
     a, b = head[order[:-1]], head[order[1:]]
     differ = a != b
     first = np.where(differ.any(axis=1), differ.argmax(axis=1), shallow)

@@ -1,9 +1,9 @@
 """Operator 8: near-duplicate documents by an LSH forest over MinHash signatures.
 
 A document is the set of its word shingles. Documents with equal sets are one class; what
-follows looks at one member of each class. A tree orders the classes by a signature of its own;
-neighbours in that order with a long enough common prefix are candidates. The depth is adaptive:
-a region that few classes share is joined at the shallow depth, a crowded one at the deep depth.
+follows looks at one member of each class. A tree sorts the classes by a signature of its own, 16 bits
+of each minimum; neighbours in that order with a long enough common prefix are candidates. The depth is adaptive:
+a region that few classes share is joined at the shallow depth, a crowded one is cut value by value, to the whole depth at most.
 Candidates form groups; a group's sets are compared in full, and links are the pairs that reach
 the similarity. Comparing looks at each set's difference from the sets' majority, so that a
 group of near copies takes about linear time: members close to the centre are linked through
@@ -16,7 +16,8 @@ follow from the similarity, so that this happens to 1.2 in 100,000 links at most
 
 Nulls and ties: a document without text or words has an empty set and is linked with nothing.
 Equal rows are linked; rows with the same doc_id are rows of their own. A null doc_id counts as
-larger than all others. An empty table gives none. Other columns are ignored.
+larger than all others. An empty table gives none. A very long text is one set, whatever its length.
+Other columns, whatever their names, come along in `kept_documents` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .components import components, union
-from .scratch import partitions, stored
+from .components import components
+from .held import held
+from .scratch import discard, noted, partitions, release, stored
 
 SPACES = re.compile("[\x20\x09-\x0d]+")
 SHALLOW, DEEP, MOST_TREES, MISS = 4, 6, 32, 1.2e-5
@@ -49,22 +52,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 class Words(dict):
     def __missing__(self, w):
-        if len(self) > 400_000:
+        if len(self) > 300_000:
             self.clear()
         out = self[w] = xxhash.xxh64_intdigest(w.encode())
         return out
 
 
-_words = Words()
-
-
 def shingles(text: str | None, k: int = 3) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles, lower-cased from A to Z; of the whole sequence if it is shorter."""
     words = SPACES.split((text or "").translate(LOWER))
     words = [w for w in words if w]
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held("words", Words).__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - k + 1)
     out = np.full(n, min(k, len(h)), np.uint64)
     for i in range(min(k, len(h))):
@@ -87,90 +87,97 @@ def forest(p: int, q: int) -> tuple[int, int]:
     return trees, deep
 
 
-def prefixes(sets: list[np.ndarray], trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each set (none empty) and tree the hash of the signature's first SHALLOW (depth at most) and first depth values."""
+def signatures(sets: list[np.ndarray], trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set (none empty) and tree the signature of depth values, 16 bits of each: the first four in one number and the rest in another, so that numbers sort as signatures do."""
     every, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     mul, add = multipliers(trees * depth)
-    shallow, deep = np.zeros((len(sets), trees), np.uint64), np.zeros((len(sets), trees), np.uint64)
-    for t in range(trees):
-        key = np.full(len(sets), t, np.uint64)
-        for d in range(depth):
-            j = t * depth + d
-            low = np.minimum.reduceat((every ^ add[j]) * mul[j], at)
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + low)
-            if d + 1 == min(SHALLOW, depth):
-                shallow[:, t] = key
-        deep[:, t] = key
-    return shallow, deep
-
+    out = np.zeros((2, len(sets), trees), np.uint64)
+    for j in range(trees * depth):
+        t, d = divmod(j, depth)
+        low = np.minimum.reduceat((every ^ add[j]) * mul[j], at)
+        out[d // SHALLOW, :, t] |= (mixed(low) >> np.uint64(48)) << np.uint64(48 - 16 * (d % SHALLOW))
+    return out[0], out[1]
 
-SIGNED = "rid long, doc_id long, text string, n_shingles long, digest binary, shallow array<long>, deep array<long>"
 
-
-def signed(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
-    rid = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+def signed(docs: DataFrame, k: int, trees: int, depth: int, whole: bool) -> DataFrame:
+    """rid, doc_id, n_shingles, digest (of the set), head and tail (of the signature in each tree), and a struct `row`: the text, or with whole the row of docs."""
+    names = docs.columns if whole else ["text"]
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    place = names.index("text")
 
     def sign(batches):
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for lo in range(0, len(texts), 500):
+            for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                sets = [shingles(t, k) for t in texts[lo : lo + 500]]
+                sets = [shingles(t, k) for t in part.column(2).field(place).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                low, deep = [None] * len(sets), [None] * len(sets)
+                head, tail = [None] * len(sets), [None] * len(sets)
                 if full:
-                    a, c = prefixes([sets[i] for i in full], trees, depth)
+                    x, y = signatures([sets[i] for i in full], trees, depth)
                     for j, i in enumerate(full):
-                        low[i], deep[i] = a[j].view(np.int64), c[j].view(np.int64)
+                        head[i], tail[i] = x[j].view(np.int64), y[j].view(np.int64)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 lists = lambda x: pa.array(x, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists(low), lists(deep)], ["rid", "doc_id", "text", "n_shingles", "digest", "shallow", "deep"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists(head), lists(tail), part.column(2)], ["rid", "doc_id", "n_shingles", "digest", "head", "tail", "row"])
+
+    schema = StructType.fromDDL("rid long, doc_id long, n_shingles long, digest binary, head array<long>, tail array<long>").add(rows.schema["row"])
+    return stored(rows.mapInArrow(sign, schema), "signed")
+
 
-    return stored(rows.mapInArrow(sign, SIGNED), "signed")
+PART = "tree int, head long, tail long, a long, b long, n long"
+#: n is 0 in rows that are links (a, b); the others are signatures, with their first class a and the number of their classes.
 
 
-def regions_of_part(batches, trees: int):
-    """What a part knows: links between its classes of one deep region, and for each region its first class and their number."""
-    rids, shallow, deep = [np.zeros(0, np.int64)], [np.zeros((0, trees), np.int64)], [np.zeros((0, trees), np.int64)]
+def sorted_part(batches, trees: int):
+    """A part's signatures in the order of each tree: links between classes of equal ones, and the distinct ones."""
+    rids, head, tail = [np.zeros(0, np.int64)], [np.zeros((0, trees), np.int64)], [np.zeros((0, trees), np.int64)]
     for b in batches:
         if b.num_rows:
             rids.append(b.column(0).to_numpy())
-            shallow.append(b.column(1).flatten().to_numpy().reshape(-1, trees))
-            deep.append(b.column(2).flatten().to_numpy().reshape(-1, trees))
-    rids, shallow, deep = map(np.concatenate, (rids, shallow, deep))
+            head.append(b.column(1).flatten().to_numpy().reshape(-1, trees))
+            tail.append(b.column(2).flatten().to_numpy().reshape(-1, trees))
+    rids, head, tail = map(np.concatenate, (rids, head, tail))
     out = []
     for t in range(trees if len(rids) else 0):
-        order = np.lexsort((rids, deep[:, t]))
-        key = deep[order, t]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.append(first, len(key)))
-        head = rids[order][np.repeat(first, n)]
-        link = head != rids[order]
+        order = np.lexsort((rids, tail[:, t], head[:, t]))
+        x, y = head[order, t], tail[order, t]
+        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        n = np.diff(np.append(first, len(x)))
+        same = rids[order][np.repeat(first, n)]
+        link = same != rids[order]
         zero = np.zeros(link.sum(), np.int64)
-        out.append((zero, zero, rids[order][link], head[link], zero))
-        out.append((shallow[order, t][first], key[first], rids[order][first], np.full(len(first), -1), n))
+        out.append((zero, zero, zero, rids[order][link], same[link], zero))
+        out.append((np.full(len(first), t), x[first], y[first], rids[order][first], np.full(len(first), -1), n))
     for c in out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["shallow", "deep", "a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[0].astype(np.int32))] + [pa.array(x, pa.int64()) for x in c[1:]], ["tree", "head", "tail", "a", "b", "n"])
 
 
-def joined_regions(batches, few: int):
-    """Links between the first classes of equal deep regions, and of all deep regions of a shallow one with few classes."""
-    cols = [np.concatenate(c) for c in zip(*([b.column(i).to_numpy() for i in range(4)] for b in batches))] or [np.zeros(0, np.int64)] * 4
-    shallow, deep, a, n = cols
+def neighbours(batches, depth: int, few: int):
+    """Candidates from the signatures that agree in the first values of a tree, sorted.
+
+    The common prefix of neighbours in the order cuts it into regions. From the shallow depth on, a
+    region of few classes is joined at its depth; a crowded one is cut by the next value, down to the whole depth.
+    """
+    cols = [np.concatenate(c) for c in zip(*([b.column(i).to_numpy() for i in range(5)] for b in batches))] or [np.zeros(0, np.int64)] * 5
+    tree, head, tail, a, n = cols
     if not len(a):
         return
-    order = np.lexsort((a, deep, shallow))
-    shallow, deep, a, n = (x[order] for x in (shallow, deep, a, n))
-    for key, small in (((shallow, deep), False), ((shallow,), True)):
-        new = np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in key])])
-        first = np.flatnonzero(new)
+    tail = tail.view(np.uint64)
+    order = np.lexsort((a, tail, head, tree))
+    tree, head, tail, a, n = (x[order] for x in (tree, head, tail, a, n))
+    shallow = min(SHALLOW, depth)
+    differ = tail[1:] ^ tail[:-1]
+    prefix = shallow + sum((differ >> np.uint64(s) == 0).astype(np.int64) for s in (48, 32, 16, 0))
+    prefix[(tree[1:] != tree[:-1]) | (head[1:] != head[:-1])] = 0
+    joined = np.zeros(len(a), bool)
+    for d in range(shallow, depth + 1):
+        first = np.flatnonzero(np.concatenate([[True], prefix < d]))
         length = np.diff(np.append(first, len(a)))
-        head = np.repeat(a[first], length)
-        ok = head != a
-        if small:
-            ok &= np.repeat(np.add.reduceat(n, first) <= few, length)
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(head[ok])], ["a", "b"])
+        region = np.repeat((np.add.reduceat(n, first) <= few) | (d == depth), length) & ~joined
+        top = np.repeat(a[first], length)
+        ok = region & (top != a)
+        joined |= region
+        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(top[ok])], ["a", "b"])
 
 
 def linked(sets: list[np.ndarray], p: int, q: int, root: np.ndarray) -> None:
@@ -257,24 +264,21 @@ def compared(batches, k: int, p: int, q: int):
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, few: int = 64, block_bytes: int = 4 << 20) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id, first (the rid of the one to keep), kept; links at q * |a & b| >= p * |a | b|.
-
-    few: classes that a shallow region may hold to be joined as a whole. block_bytes: a group with
-    more text is compared in blocks of half of that, pair by pair.
-    """
+def matched(docs: DataFrame, k: int, p: int, q: int, few: int, block_bytes: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, stored, and what `near_duplicates` gives for them."""
     spark = docs.sparkSession
     trees, depth = forest(p, q)
-    rows = signed(docs, k, trees, depth)
+    rows = signed(docs, k, trees, depth, whole)
     narrow = rows.select("rid", "doc_id", "n_shingles", "digest")
     classes = stored(narrow.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")), "classes")
-    reps = rows.select("rid", "shallow", "deep").join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
-    parts = stored(reps.select("rid", "shallow", "deep").mapInArrow(partial(regions_of_part, trees=trees), "shallow long, deep long, a long, b long, n long"), "regions")
-    across = parts.filter("n > 0").select("shallow", "deep", "a", "n").repartition(partitions(spark), "shallow").mapInArrow(partial(joined_regions, few=few), "a long, b long")
+    reps = rows.select("rid", "head", "tail").join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
+    parts = stored(reps.select("rid", "head", "tail").mapInArrow(partial(sorted_part, trees=trees), PART), "signatures")
+    across = parts.filter("n > 0").select("tree", "head", "tail", "a", "n").repartition(partitions(spark), "tree", "head").mapInArrow(partial(neighbours, depth=depth, few=few), "a long, b long")
     groups = stored(components(parts.filter("n = 0").select("a", "b").union(across)), "groups")
+    discard(parts)
 
-    members = groups.join(rows.select(F.col("rid").alias("node"), "text"), "node").select("root", F.col("node").alias("rid"), "text")
-    sizes = groups.join(rows.select(F.col("rid").alias("node"), F.octet_length("text").alias("size")), "node").groupBy("root").agg(F.sum("size").alias("size"))
+    members = groups.join(rows.select(F.col("rid").alias("node"), F.col("row.text").alias("text")), "node").select("root", F.col("node").alias("rid"), "text")
+    sizes = groups.join(rows.select(F.col("rid").alias("node"), F.octet_length("row.text").alias("size")), "node").groupBy("root").agg(F.sum("size").alias("size"))
     blocks = sizes.select("root", F.when(F.col("size") <= block_bytes, 1).otherwise(F.ceil(F.col("size") * 2 / block_bytes)).cast("int").alias("blocks"))
     members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -287,15 +291,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, few:
     tops = of_class.groupBy("root").agg(F.min("least").alias("top"))
     of_class = of_class.join(tops, "root").select("digest", F.col("top.doc_id").alias("component_id"), F.col("top.rid").alias("first"))
     out = narrow.join(of_class, "digest", "left").select("rid", "doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", "rid").alias("first"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows, out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
 
+def near_duplicates(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, few: int = 64, block_bytes: int = 4 << 20) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id, first (the rid of the one to keep), kept; links at q * |a & b| >= p * |a | b|.
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, one for each component, with all their columns."""
-    names = docs.columns
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    keep = near_duplicates(rows.select("_row", "doc_id", "text"), **options).filter("rid = first").select(F.col("rid").alias("_row"))
-    return rows.join(keep, "_row", "left_semi").select(*names)
+    few: classes that a region may hold to be joined above the whole depth. block_bytes: a group with
+    more text is compared in blocks of half of that, pair by pair.
+    """
+    return matched(docs, k, p, q, few, block_bytes, False)[1]
+
+
+def kept_documents(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, few: int = 64, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of docs that are kept, one for each component, with all their columns.
+
+    The rows are stored once, beside their signatures. Those that go are stored by number, so that
+    Spark sees their size and moves the rows only if it has to; all other tables are deleted.
+    """
+    made: list[str] = []
+    with noted(made):
+        rows, found = matched(docs, k, p, q, few, block_bytes, True)
+        gone = stored(found.filter("rid <> first").select("rid"), "gone")
+    release(made, rows, gone)
+    return rows.join(gone, "rid", "left_anti").select("row.*")
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

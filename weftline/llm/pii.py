@@ -97,9 +97,11 @@ def with_matches(df: DataFrame, patterns: dict[str, str], may: dict[str, Column]
     return df.drop(*[f"{c}_{k}" for c in "mga" for k in patterns])
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, the base spans by kind, and the candidates (start, end, instance, cue, pattern, context, long); stored."""
-    t = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+def scanned(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """rid, doc_id, the base spans by kind, and the candidates (start, end, instance, cue, pattern, context, long); stored. whole: the row of docs too, as a struct `row`."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = ["row"] if whole else []
+    t = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"), *[row] * whole)
     text = F.col("t")
     may = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][0-9\x20-]"), "phone": F.contains(text, F.lit("+")), "cand": text.rlike("[0-9@]"), "run": text.rlike(r"[0-9().+/-]\x20\(*+[0-9]")}
     t = with_matches(t, {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "cand": CANDIDATE, "run": RUN}, may)
@@ -121,7 +123,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     # where a run starts, the cue is the run's, not that of its first word
     t = t.withColumn("heads", F.transform("run", lambda c: c["start"]))
     t = t.withColumn("cand", F.transform("cand", lambda c: c.withField("context", c["context"] & ~F.array_contains("heads", c["start"]))))
-    return stored(t.select("rid", "doc_id", *KINDS[:4], "every", F.concat("cand", "run").alias("cands")), "scanned")
+    return stored(t.select(*kept, "rid", "doc_id", *KINDS[:4], "every", F.concat("cand", "run").alias("cands")), "scanned")
 
 
 def candidates(scan: DataFrame) -> DataFrame:
@@ -167,12 +169,13 @@ def discovered(scan: DataFrame, texts: DataFrame, least_known: int = 3, confiden
     return c.filter("not inside and long").select("rid", "start", "end", "instance").join(known, "instance", "left_semi").select("rid", "start", "end")
 
 
-def detected(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, and for each kind an array of (start, end) in order."""
-    scan = scanned(docs)
+def detected(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """rid, doc_id, and for each kind an array of (start, end) in order; with whole also the row of docs, as a struct `row`."""
+    scan = scanned(docs, whole)
     more = discovered(scan, docs.select("text")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("c"))
     within = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
-    more = more.select("rid", F.filter("c", lambda s: ~F.exists("c", lambda o: within(s, o))).alias("context"))
+    # stored, so that Spark sees its size and moves the scanned rows only if it has to
+    more = stored(more.select("rid", F.filter("c", lambda s: ~F.exists("c", lambda o: within(s, o))).alias("context")), "context")
     return scan.drop("cands", "every").join(more, "rid", "left").withColumn("context", F.coalesce("context", F.array()))
 
 
@@ -184,28 +187,27 @@ def listed(kinds: tuple[str, ...]) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span of its texts replaced by its kind in brackets; overlapping spans are joined under the first one's kind."""
-    names = docs.columns
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    spans = detected(rows.select(F.col("_row").alias("doc_id"), "text"))
     named = lambda k: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))
     every = F.array_sort(F.flatten(F.array(*[F.transform(k, named(k)) for k in KINDS])))
-    spans = spans.select(F.col("doc_id").alias("_row"), every.alias("_spans")).filter(F.size("_spans") > 0)
+    rows = detected(docs, whole=True).select("row", every.alias("spans"))
+    text = F.col("row.text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state, s):
-        gap = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
+        gap = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
         fresh = F.struct(s["end"].alias("at"), F.concat(state["parts"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("parts"))
         inside = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["parts"].alias("parts"))
         return F.when(s["start"] >= state["at"], fresh).otherwise(inside)
 
-    done = F.aggregate("_spans", start, step, lambda s: F.concat(F.concat_ws("", s["parts"]), F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    out = rows.join(spans, "_row", "left").withColumn("text", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    done = F.aggregate("spans", start, step, lambda s: F.concat(F.concat_ws("", s["parts"]), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    found = F.size("spans") > 0
+    rows = rows.select("row", F.when(found, done).otherwise(text).alias("text"), found.alias("found"))
+    made = {"text": F.col("text"), "n_chars": F.when(F.col("found"), F.length("text").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(0))}
+    return rows.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = detected(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return got.select("doc_id", *counts, F.sha2(listed(KINDS[:4]), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    every = sum((F.size(k) for k in KINDS[1:]), F.size(KINDS[0])).cast("long").alias("n_spans")
+    return got.select("doc_id", *counts, every, F.sha2(listed(KINDS[:4]), 256).alias("base_sha256"), listed(KINDS).alias("spans"))

@@ -7,8 +7,8 @@ pattern a posterior probability of being good; documents that the base rules rej
 and the base rules hold.
 
 Nulls and ties: a null text has no words and fails; a null doc_id stays null; repeated rows give
-repeated rows; an empty table gives none. Other columns are kept by `kept_documents` and ignored
-by `judged`.
+repeated rows; an empty table gives none. A very long text is one row's work, in time n log n of its
+words. Other columns, whatever their names, are kept by `kept_documents` and ignored by `judged`.
 """
 
 from __future__ import annotations
@@ -50,13 +50,16 @@ def repeated_words(words: Column, n: Column, window: int = 5) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """The counts that the rules look at; docs needs doc_id and text. One pass over the texts, no shuffle."""
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+def features(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """The counts that the rules look at; docs needs doc_id and text. One pass over the texts, no shuffle. whole: the row of docs too, as a struct `row`."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = ["row"] if whole else []
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"), *[row] * whole)
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.length(without(x, SPACE)) > 0)
-    t = t.select("doc_id", "t", F.array_remove(F.split("t", SPACES, -1), "").alias("w"), lines.alias("l"), without(F.col("t"), SPACE).alias("solid"))
+    t = t.select(*kept, "doc_id", "t", F.array_remove(F.split("t", SPACES, -1), "").alias("w"), lines.alias("l"), without(F.col("t"), SPACE).alias("solid"))
     n = F.size("w")
     return t.select(
+        *kept,
         "doc_id",
         n.cast("long").alias("n_words"),
         F.length("solid").cast("long").alias("word_chars"),
@@ -156,19 +159,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judged(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed, p_good, kept."""
-    feats = stored(features(docs).withColumn("base_failed", base_failed()), "features")
+def judged(docs: DataFrame, least: float = 0.5, whole: bool = False) -> DataFrame:
+    """doc_id, the counts, base_failed, p_good, kept; with whole also the row of docs, as a struct `row`."""
+    feats = stored(features(docs, whole).withColumn("base_failed", base_failed()), "features")
     out = feats.withColumn("p_good", posterior(fitted(feats.filter("not base_failed"))))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
 
 
 def kept_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
-    names = docs.columns
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    good = judged(rows.select(F.col("_row").alias("doc_id"), "text"), least).filter("kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(good, "_row", "left_semi").select(*names)
+    """The rows of docs that are kept, with all their columns: they are stored once, beside their counts, and filtered."""
+    return judged(docs, least, whole=True).filter("kept").select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,16 +8,18 @@ place in it, and it is enough to sort the suffixes at anchors whose k-gram occur
    it could take up). Of equal contexts only the first occurrence goes on; the others are
    covered as a whole. Each part does that on its own before anything is moved.
 2. Where one k-gram has several contexts, the first occurrence of each is sorted by the bytes
-   from the anchor on, and by the bytes before it in reverse: a lexsort of eight-byte keys to a
-   shallow depth, blind tries for what is still equal there. The common prefixes of neighbours tell
-   which occurrences agree to any depth on both sides, and so which strings occur before.
+   from the anchor on, and by the bytes before it in reverse: multikey quicksort to a shallow depth,
+   eight bytes a key, and blind tries for what is still equal there. The common prefixes of neighbours
+   tell which occurrences agree to any depth on both sides, and so which strings occur before. A
+   k-gram with very many contexts is not sorted in one task: the digests of its strings are grouped.
 3. The covered stretches of each text are joined and cut out.
 
 The texts lie in a table in buckets by row, so that steps 2 and 3 do not move them again.
 
 Nulls and ties: a null text is empty; rows come in the order of doc_id (null last), then in the
 order in which they are read. Matches never cross rows. Empty and short texts lose nothing. An
-empty table gives none. Other columns are ignored.
+empty table gives none. A very long text is one row's work, in stretches of a fixed size but for its
+own length. Other columns, whatever their names, come along in `cleaned_documents` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .blind_trie import deep_shallow
+from .held import held
 from .near_dup import mixed
-from .scratch import partitions, scratch_path, stored
+from .scratch import free, partitions, scratch_path, stored
 
 LAST = (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,15 +52,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-_tables: dict = {}
-
-
 def tables(n: int):
-    have = _tables.get("p")
-    if have is None or len(have[0]) < n:
-        _tables["p"] = have = powers(max(n, CHUNK + (1 << 12)))
-        _tables["t"] = mixed(np.arange(1, 257, dtype=np.uint64) * BASE)
-    return have[0], have[1], _tables["t"]
+    """Powers for n places, and a number for each byte; those of one chunk are kept."""
+    usual = CHUNK + (1 << 12)
+    up, down = held("powers", lambda: powers(usual)) if n <= usual else powers(n)
+    return up, down, mixed(np.arange(1, 257, dtype=np.uint64) * BASE)
 
 
 def sliding(x: np.ndarray, w: int, best) -> np.ndarray:
@@ -148,12 +148,25 @@ def decided(batches):
     yield pa.RecordBatch.from_arrays([pa.array(rid[out]), pa.array(pos[out]), pa.array(gram[out], mask=~first[out])], ["rid", "pos", "gram"])
 
 
+def strings(batches, length: int, k: int):
+    """start of each string around the anchors of crowded k-grams, and its digest."""
+    for b in batches:
+        out = []
+        for rid, doc, text, asked in zip(*(b.column(i).to_pylist() for i in range(4))):
+            starts = {p for x in asked if x["crowded"] for p in range(max(0, x["pos"] - (length - k)), min(x["pos"], len(text) - length) + 1)}
+            out += [(hashlib.blake2b(text[p : p + length], digest_size=16).digest(), LAST if doc is None else doc, rid, p) for p in starts]
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["key", "doc", "rid", "lo"])
+
+
 def contexts(batches, length: int, k: int):
     """gram, doc, rid, pos and the bytes on either side, the left ones reversed."""
     for b in batches:
         out = []
         for rid, doc, text, asked in zip(*(b.column(i).to_pylist() for i in range(4))):
             for x in asked:
+                if x["crowded"]:
+                    continue
                 p = x["pos"]
                 out.append((x["gram"], LAST if doc is None else doc, rid, p, text[max(0, p - (length - k)) : p][::-1], text[p : p + length]))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
@@ -208,7 +221,7 @@ def merged(spans: np.ndarray, n: int) -> np.ndarray:
 RESULT = "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def cut(batches, length: int, k: int, texts: bool, carried: int):
+def cut(batches, length: int, k: int, texts: bool):
     for b in batches:
         out = []
         for rid, doc, text, full, part in zip(*(b.column(i).to_pylist() for i in range(5))):
@@ -224,47 +237,54 @@ def cut(batches, length: int, k: int, texts: bool, carried: int):
             row = (rid, doc, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
             out.append((*row, kept.decode("utf-8", "ignore")) if texts else row)
         kinds = (pa.int64(),) * 5 + (pa.string(),) * (2 if texts else 1)
-        names = ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        more = [b.column(f"_c{i}") for i in range(carried)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)] + more, names[: len(kinds)] + [f"_c{i}" for i in range(carried)])
+        names = ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)] + ([b.column(5)] if texts else []), names + ["row"] * texts)
 
 
-def repeats_removed(docs: DataFrame, length: int = 100, k: int = 50, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept, without characters of which a part is gone.
+def repeats_removed(docs: DataFrame, length: int = 100, k: int = 50, whole: bool = False, crowd: int = 1000) -> DataFrame:
+    """rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    carry: columns of docs that come along, as _c0, _c1, ...
+    whole: also kept, the text without characters of which a part is gone, and a struct `row` of the other columns of docs.
+    crowd: a k-gram with more contexts than that is not sorted in one task; its strings are summed up by their digests instead, with the same result.
     """
-    more = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
-    shapes = "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *more)
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] * whole
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *row)
     name = f"weftline_texts_{uuid.uuid4().hex}"
     rows.repartition(n, "rid").write.bucketBy(n, "rid").option("path", scratch_path(spark, "texts")).option("compression", "zstd").saveAsTable(name)
     rows = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name only: rows knows its files and buckets
 
     marks = rows.select("rid", "doc_id", "text").mapInArrow(partial(found_anchors, length=length, k=k), ANCHORS)
     marks = stored(marks.repartition(n, "spread").mapInArrow(decided, "rid long, pos int, gram long"), "marks")
-    asked = marks.filter("gram is not null").groupBy("rid").agg(F.collect_list(F.struct("pos", "gram")).alias("asked"))
-    around = rows.join(asked, "rid").select("rid", "doc_id", "text", "asked").mapInArrow(partial(contexts, length=length, k=k), "gram long, doc long, rid long, pos int, left binary, right binary")
+    crowded = stored(marks.filter("gram is not null").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("gram", F.lit(True).alias("crowded")), "crowded")
+    asked = marks.filter("gram is not null").join(crowded, "gram", "left")
+    asked = asked.groupBy("rid").agg(F.collect_list(F.struct("pos", "gram", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("asked"))
+    asked = rows.select("rid", "doc_id", "text").join(asked, "rid")
+    around = asked.select("rid", "doc_id", "text", "asked").mapInArrow(partial(contexts, length=length, k=k), "gram long, doc long, rid long, pos int, left binary, right binary")
     part = stored(around.repartition(n, "gram").mapInArrow(partial(covered, length=length, k=k), "rid long, lo long, hi long"), "part")
+    if not crowded.isEmpty():
+        every = asked.filter(F.exists("asked", lambda x: x["crowded"])).select("rid", "doc_id", "text", "asked").mapInArrow(partial(strings, length=length, k=k), "key binary, doc long, rid long, lo long")
+        every = stored(every.distinct(), "strings")
+        first = every.groupBy("key").agg(F.min(F.struct("doc", "rid", "lo")).alias("first"))
+        again = every.join(first, "key").filter(F.struct("doc", "rid", "lo") != F.col("first"))
+        part = part.union(stored(again.select("rid", "lo", (F.col("lo") + length).alias("hi")), "again"))
 
     full = marks.filter("gram is null").groupBy("rid").agg(F.collect_list("pos").alias("full"))
     part = part.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("part"))
-    every = rows.join(full, "rid", "left").join(part, "rid", "left").select("rid", "doc_id", "text", "full", "part", *[f"_c{i}" for i in range(len(carry))])
-    return every.mapInArrow(partial(cut, length=length, k=k, texts=texts, carried=len(carry)), RESULT + (", kept string" if texts else "") + shapes)
+    every = rows.join(full, "rid", "left").join(part, "rid", "left").select("rid", "doc_id", "text", "full", "part", *["row"] * whole)
+    schema = StructType.fromDDL(RESULT + ", kept string" * whole)
+    return every.mapInArrow(partial(cut, length=length, k=k, texts=whole), schema.add(rows.schema["row"]) if whole else schema)
 
 
 def cleaned_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with the repeats cut out of their texts; all rows and columns stay. A null text stays null."""
-    names = docs.columns
-    carry = tuple(c for c in names if c not in ("doc_id", "text", "n_chars"))
-    docs = docs.withColumn("_null", F.col("text").isNull())
-    out = repeats_removed(docs, texts=True, carry=(*carry, "_null"), **options)
-    text = F.when(~F.col(f"_c{len(carry)}"), F.col("kept"))
-    made = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")}
-    made |= {c: F.col(f"_c{i}") for i, c in enumerate(carry)}
-    return out.select(*[made[c].alias(c) for c in names])
+    null = free(docs.columns, "no_text")
+    out = repeats_removed(docs.withColumn(null, F.col("text").isNull()), whole=True, **options)
+    text = F.when(~F.col("row").getField(null), F.col("kept"))
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
