@@ -65,3 +65,23 @@ def with_library_cost(costs: DataFrame) -> DataFrame:
     out = costs.withColumn("p", paths.package(F.col("target_id"))).join(libs, "p", "left")
     gains = (paths.target_key(F.col("target_id")) == "test") & (F.col("wall_ns") == 0)
     return out.select("target_id", "wall_ns", (F.col("cost_ns") + F.when(gains, F.coalesce("lib_ns", F.lit(0))).otherwise(0)).alias("cost_ns"))
+
+
+def symbol_breakdown(symbols: DataFrame, used: DataFrame, targets: DataFrame) -> DataFrame:
+    """symbol, attr_ns, meta_ns, other_ns: a symbol's own time and its share of the target's, by the dependencies of the target that it names.
+
+    symbols: symbol, target, cost_ns; used: symbol, dep (a target, once for each reference); targets: target, meta_ns, other_ns, deps (array). Targets without dependencies share nothing out.
+    """
+    s = symbols.join(targets, "target", "left")
+    n = used.join(s.select("symbol", "deps"), "symbol").filter(F.array_contains("deps", F.col("dep"))).groupBy("symbol").agg(F.count("*").alias("n"))
+    s = s.join(n, "symbol", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = F.coalesce(F.size("deps"), F.lit(0))
+    part = lambda c: F.coalesce(proportional_share(F.col(c), F.col("n"), whole), F.lit(0)).alias(c)
+    return s.select("symbol", F.col("cost_ns").alias("attr_ns"), part("meta_ns"), part("other_ns"))
+
+
+def with_extra_symbols(groups: DataFrame, whole: DataFrame) -> DataFrame:
+    """groups (graph, grp, symbol_count) whose lowest group takes what the target has beyond all its groups. whole: graph, symbol_count."""
+    sums = groups.groupBy("graph").agg(F.sum("symbol_count").alias("have"), F.min("grp").alias("low"))
+    extra = whole.select("graph", F.col("symbol_count").alias("all")).join(sums, "graph").select("graph", "low", F.greatest(F.col("all") - F.col("have"), F.lit(0)).alias("extra"))
+    return groups.join(extra, "graph", "left").withColumn("symbol_count", F.col("symbol_count") + F.when(F.col("grp") == F.col("low"), F.col("extra")).otherwise(0)).drop("low", "extra")

@@ -6,14 +6,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import paths
+
 
 def cut(df: DataFrame, every: bool = True) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder that the cluster shares; one of our own where none is set."""
+    """Cut lineage with a checkpoint in the folder that the cluster shares; one of our own only where none is set and Spark is local."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint(every)
 
 
@@ -35,6 +40,20 @@ def anchors(impls: DataFrame, edges: DataFrame, anchor_of: DataFrame) -> DataFra
     return c.groupBy("impl").agg(F.min(F.struct("n", "anchor")).alias("m")).select("impl", F.col("m.anchor").alias("anchor"), F.col("m.n").alias("in_degree"))
 
 
+def with_back_edges(edges: DataFrame, impls: DataFrame) -> DataFrame:
+    """edges (graph, s, t) and, for each impl that refers to anchors of its graph, one from the anchor with the fewest incoming edges to the impl, so that both are one component. impls: impl."""
+    own = edges.select(F.col("s").alias("impl"), F.col("t").alias("anchor"), "graph")
+    back = anchors(impls, edges, own.select("impl", "anchor")).join(own, ["impl", "anchor"])
+    return edges.select("graph", "s", "t").union(back.select("graph", F.col("anchor").alias("s"), F.col("impl").alias("t"))).distinct()
+
+
+def external_targets(deps: DataFrame) -> DataFrame:
+    """symbol, targets: the targets of other prefixes that each symbol's dependencies name, one for each dependency. deps: symbol, dep, prefix (of the symbol's target)."""
+    target = paths.bracketed_target(F.col("dep"))
+    out = deps.filter(~F.startswith("dep", F.col("prefix"))).select("symbol", target.alias("target")).filter("target is not null")
+    return out.groupBy("symbol").agg(F.sort_array(F.collect_list("target")).alias("targets"))
+
+
 def _strong(s: list, t: list) -> dict:
     """Strong components by an explicit-stack depth-first search; each node's component is its least member."""
     out, index, low, on, stack, done = {}, {}, {}, set(), [], {}
@@ -64,9 +83,9 @@ def _strong(s: list, t: list) -> dict:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[v])
                 if low[v] == index[v]:
-                    at = stack.index(v)
-                    members = stack[at:]
-                    del stack[at:]
+                    members = [stack.pop()]
+                    while members[-1] != v:
+                        members.append(stack.pop())
                     on.difference_update(members)
                     done.update(dict.fromkeys(members, min(members)))
     return done

@@ -1,8 +1,8 @@
 """Cost models: linear regression without intercept over a few predictors.
 
 Sums of products are one aggregation over the rows; only they come to the driver, so that the
-fit takes any number of rows. The robust fit draws hypotheses from a bounded sample; its scale,
-the loss of each hypothesis and each reweighting step are aggregations over all rows.
+fit takes any number of rows. The robust fit draws minimal subsets from a bounded sample; its
+scale, the loss of each hypothesis and each reweighting step are aggregations over all rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import drawing
+
 
 def products(rows: DataFrame, x: list[str], y: str, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """X'WX, X'Wy and the number of rows with a positive weight, from one pass."""
@@ -33,12 +35,20 @@ def products(rows: DataFrame, x: list[str], y: str, weight: Column | None = None
 
 
 def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The solution; predictors that are zero in all rows get 0."""
-    used = np.flatnonzero(np.diag(a) > 0)
-    out = np.zeros(len(b))
-    if len(used):
-        scale = np.sqrt(np.diag(a)[used])
-        out[used] = np.linalg.lstsq(a[np.ix_(used, used)] / np.outer(scale, scale), b[used] / scale, rcond=None)[0] / scale
+    """The solution by elimination; an unknown whose column has nothing left to pivot on gets 0."""
+    n = len(b)
+    m = np.column_stack([a, b]).astype(float)
+    for c in range(n):
+        r = c + int(np.argmax(np.abs(m[c:, c])))
+        if abs(m[r, c]) < 1e-15:
+            m[c:, c] = 0
+            continue
+        m[[c, r]] = m[[r, c]]
+        m[c + 1 :] -= np.outer(m[c + 1 :, c] / m[c, c], m[c])
+    out = np.zeros(n)
+    for c in range(n - 1, -1, -1):
+        if abs(m[c, c]) >= 1e-15:
+            out[c] = (m[c, n] - m[c, c + 1 : n] @ out[c + 1 :]) / m[c, c]
     return out
 
 
@@ -47,9 +57,11 @@ def prediction(x: list[str], c) -> Column:
 
 
 def r_squared(rows: DataFrame, x: list[str], y: str, c) -> float:
-    """1 - SSE / SST around the mean; 0 if the response does not vary."""
-    got = rows.agg(F.sum(F.pow(F.col(y) - prediction(x, c), F.lit(2))).alias("e"), F.var_pop(y).alias("v"), F.count("*").alias("n")).first()
-    return 1 - got.e / (got.v * got.n) if got.n and got.v else 0.0
+    """1 - SSE / sum of y squared, as the model has no intercept; 1 if all y are 0, 0 without rows."""
+    got = rows.agg(F.sum(F.pow(F.col(y) - prediction(x, c), F.lit(2))).alias("e"), F.sum(F.col(y) * F.col(y)).alias("t"), F.count("*").alias("n")).first()
+    if not got.n:
+        return 0.0
+    return 1 - got.e / got.t if got.t else 1.0
 
 
 def ordinary(rows: DataFrame, x: list[str], y: str) -> dict | None:
@@ -61,49 +73,128 @@ def ordinary(rows: DataFrame, x: list[str], y: str) -> dict | None:
     return {"coefficients": c.tolist(), "r_squared": r_squared(rows, x, y, c)}
 
 
-def robust(rows: DataFrame, x: list[str], y: str, sample_rows: int = 2000, draws: int = 2000, steps: int = 5) -> dict | None:
-    """coefficients, r_squared over the inliers, inlier_threshold; None with too few rows.
+# The 0.99 quantile of the chi distribution with one degree of freedom, Euler's constant, the seed of the draws.
+K = 2.5758293035489004
+EULER = 0.5772156649015329
+SEED = 0x6D61677361632B2B
+MASK = (1 << 64) - 1
+
+
+def e1(x: np.ndarray) -> np.ndarray:
+    """The exponential integral: its power series up to 1, beyond that its asymptotic series up to the smallest term."""
+    x = np.asarray(x, float)
+    small, term, total = np.minimum(x, 1.0), np.ones_like(x), np.zeros_like(x)
+    for k in range(1, 61):
+        term = term * -small / k
+        total = total + term / k
+    with np.errstate(divide="ignore", invalid="ignore"):
+        near = -np.log(small) - EULER - total
+    large, term, total, live = np.maximum(x, 1.0), np.ones_like(x), np.ones_like(x), np.ones(x.shape, bool)
+    last = np.full(x.shape, np.inf)
+    for k in range(1, 61):
+        term = term * -k / large
+        live &= np.abs(term) <= last
+        total, last = np.where(live, total + term, total), np.abs(term)
+    return np.where(x <= 0, np.inf, np.where(x <= 1, near, np.exp(-large) * total / large))
+
+
+def losses_and_weights(r: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """For absolute residuals: the loss, and the weight, each summed over all noise scales up to sigma."""
+    near, unit = r < K * sigma, 1 / math.sqrt(2 * math.pi) / sigma
+    x = r * r / (2 * sigma * sigma)
+    tail = e1(np.float64(K * K / 2))
+    over = lambda v: np.maximum(e1(v) - tail, 0)
+    loss = (sigma * sigma * (1 - np.exp(-x)) + r * r / 2 * over(np.maximum(x, 1e-12))) * unit
+    weight = over(np.maximum(r * r, 1e-12) / (2 * sigma * sigma)) * unit
+    return np.where(near, loss, sigma * sigma * unit * (1 - math.exp(-K * K / 2))), np.where(near & (r > 0), weight, 0.0)
+
+
+def shifted(state: int) -> int:
+    """The next state of a 64-bit xorshift generator."""
+    state ^= state << 13 & MASK
+    state ^= state >> 7
+    return state ^ (state << 17 & MASK)
+
+
+def subsets(n: int, k: int, draws: int) -> tuple[list, bool]:
+    """Row numbers of minimal subsets, and whether they are all there are: seeded draws without repetition if there are more than `draws`."""
+    if math.comb(n, k) <= draws:
+        return list(itertools.combinations(range(n), k)), True
+    state, out = (SEED ^ (n * 0x9E3779B97F4A7C15 & MASK)) or 0xDEADBEEFCAFEF00D, []
+    for _ in range(draws):
+        moved, picked = {}, []
+        for i in range(k):
+            j = i
+            if n - i > 1:
+                state = shifted(state)
+                j = i + state % (n - i)
+            picked.append(moved.get(j, j))
+            moved[j] = moved.get(i, i)
+        out.append(picked)
+    return out, False
+
+
+def enough(inliers: int, n: int, k: int, confidence: float) -> float:
+    """Draws after which a subset of inliers has come with that confidence; infinite where the share of inliers says nothing."""
+    share = inliers / n
+    if not 0 < share < 1:
+        return math.inf
+    missed = math.log1p(-(share**k)) if share**k < 1 else -math.inf
+    return math.ceil(math.log(1 - confidence) / missed) if missed < 0 else math.inf
 
-    Marginalised consensus (MAGSAC++): each residual is weighed by its likelihood summed over all
-    noise scales up to a largest one, so that no inlier threshold has to be given. Hypotheses
-    are exact fits of minimal subsets: all of them if there are few, else a fixed number of seeded
-    draws from a bounded sample (a documented parameter). The scale is a quantile of the residuals
-    of all rows, and the loss that ranks the hypotheses is summed over all rows. The best one is
-    refined by reweighted least squares over all rows.
+
+def robust(rows: DataFrame, x: list[str], y: str, sample_rows: int = 2000, draws: int = 2000, least: int = 50, steps: int = 2, confidence: float = 0.99) -> dict | None:
+    """coefficients, r_squared over the inliers, inlier_threshold, score, inliers, sigma; None with too few rows.
+
+    MAGSAC++: a residual counts by its likelihood summed over all noise scales up to a largest one, so
+    that no inlier threshold has to be given. The largest scale is the 0.9 order statistic of the
+    residuals of least squares over all rows. Hypotheses are exact fits of minimal subsets: all of
+    them if there are few, else seeded draws from sample_rows rows (a documented bound), until enough were
+    drawn. Each is refined by reweighting, and the score of each is over all rows.
     """
-    k = len(x)
     rows = rows.select(*[F.col(c).cast("double").alias(c) for c in [*x, y]]).persist()
     try:
-        return _robust(rows, x, y, k, sample_rows, draws, steps)
+        return _robust(rows, x, y, sample_rows, draws, least, steps, confidence)
     finally:
         rows.unpersist()
 
 
-def _robust(rows: DataFrame, x: list[str], y: str, k: int, sample_rows: int, draws: int, steps: int) -> dict | None:
-    n = rows.count()
+def _robust(rows: DataFrame, x: list[str], y: str, sample_rows: int, draws: int, least: int, steps: int, confidence: float) -> dict | None:
+    k = len(x)
+    pa_, pb, n = products(rows, x, y)
     if n < k + 1:
         return None
-    drawn = rows.select(*x, y).orderBy(F.xxhash64(*x, y)).limit(sample_rows).collect()
-    m = np.array([list(r) for r in drawn], float)
-    a, b = m[:, :k], m[:, k]
-    subsets = list(itertools.combinations(range(len(m)), k)) if math.comb(len(m), k) <= draws else [np.random.default_rng(i).choice(len(m), k, replace=False) for i in range(draws)]
-    pa, pb, _ = products(rows, x, y)
-    start = solve(pa, pb)
-    scale = nth(rows.select(F.abs(F.col(y) - prediction(x, start)).alias("v")), round(0.9 * (n - 1))) or 1.0
-    fits = np.array([start, *(np.linalg.lstsq(a[list(s)], b[list(s)], rcond=None)[0] for s in subsets)])
-    sums = rows.mapInArrow(partial(_losses, fits=fits, scale=scale), "i int, loss double").groupBy("i").agg(F.sum("loss").alias("loss")).orderBy("i").collect()
-    best, least = start, math.inf
-    for r in sums:
-        if r.loss < least - 1e-12 * n:
-            best, least = fits[r.i], r.loss
+    start = solve(pa_, pb)
+    sigma = max(1e-6, nth(rows.select(F.abs(F.col(y) - prediction(x, start)).alias("v")), math.floor(0.9 * (n - 1) + 0.5)))
+    fits, every = [start], True
+    flat = rows.agg(*[F.max(F.abs(F.col(c))).alias(f"m{i}") for i, c in enumerate(x)]).first()
+    if min(flat) >= 1e-15:
+        drawn = np.array([list(r) for r in rows.orderBy(F.xxhash64(*x, y), *x, y).limit(sample_rows).collect()], float)
+        picked, every = subsets(len(drawn), k, draws)
+        fits += [solve(drawn[list(s), :k], drawn[list(s), k]) for s in picked]
+    else:
+        steps = 0  # a predictor without values: least squares as it is
+    now = np.array(fits)
+    best, sums = now.copy(), _summed(rows, now, sigma)
+    score, inliers = 1 / np.maximum(sums[:, 0], 1e-300) * (sums[:, 0] > 0), sums[:, 1].copy()
+    live = np.ones(len(now), bool)
     for _ in range(steps):
-        r = F.abs(F.col(y) - prediction(x, best)) / scale
-        pa, pb, live = products(rows, x, y, F.when(r < 1, F.pow(1 - r * r, F.lit(2))).otherwise(0.0))
-        if live < k:
+        live &= sums[:, 2] >= k
+        now = np.array([solve(s[3 : 3 + k * k].reshape(k, k), s[3 + k * k :]) if ok else c for s, c, ok in zip(sums, now, live)])
+        sums = _summed(rows, now, sigma)
+        better = live & (sums[:, 0] > 0) & (1 / np.maximum(sums[:, 0], 1e-300) > score)
+        best[better], score[better], inliers[better] = now[better], 1 / sums[better, 0], sums[better, 1]
+    top, limit = 0, len(fits) - 1
+    for i in range(1, len(fits)):
+        if i > limit:
             break
-        best = solve(pa, pb)
-    inliers = rows.filter(F.abs(F.col(y) - prediction(x, best)) <= scale)
-    return {"coefficients": best.tolist(), "r_squared": r_squared(inliers, x, y, best), "inlier_threshold": scale}
+        if score[i] > score[top]:
+            top = i
+        if not every and i >= least:
+            limit = min(limit, enough(int(inliers[top]), n, k, confidence))
+    c = best[top]
+    close = rows.filter(F.abs(F.col(y) - prediction(x, c)) <= K * sigma)
+    return {"coefficients": c.tolist(), "r_squared": r_squared(close, x, y, c), "inlier_threshold": K * sigma, "score": float(score[top]), "inliers": int(inliers[top]), "sigma": sigma}
 
 
 def nth(values: DataFrame, i: int, bins: int = 1024) -> float:
@@ -119,20 +210,54 @@ def nth(values: DataFrame, i: int, bins: int = 1024) -> float:
     return lo
 
 
-def _losses(batches, fits: np.ndarray, scale: float, block: int = 256):
-    """The summed loss of each fit over a part; columns: the predictors, then the response."""
-    out = np.zeros(len(fits))
+def _summed(rows: DataFrame, fits: np.ndarray, sigma: float) -> np.ndarray:
+    """A row for each fit: loss, inliers, rows with a weight, X'WX, X'Wy, summed over all rows; bounded by the number of fits."""
+    k = fits.shape[1]
+    names = [f"v{j}" for j in range(3 + k * k + k)]
+    part = rows.mapInArrow(partial(_part_sums, fits=fits, sigma=sigma), "i int, " + ", ".join(f"{v} double" for v in names))
+    got = part.groupBy("i").agg(*[F.sum(v).alias(v) for v in names]).orderBy("i").collect()
+    return np.array([r[1:] for r in got], float)
+
+
+def _part_sums(batches, fits: np.ndarray, sigma: float, block: int = 256):
+    """What a part adds to _summed; columns: the predictors, then the response."""
+    k = fits.shape[1]
+    out = np.zeros((len(fits), 3 + k * k + k))
     for batch in batches:
         m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        x, y = m[:, :k], m[:, k]
+        squares = np.column_stack([(x[:, :, None] * x[:, None, :]).reshape(len(m), -1), x * y[:, None]])
         for lo in range(0, len(fits), block):
-            r = np.abs(m[:, -1:] - m[:, :-1] @ fits[lo : lo + block].T)
-            out[lo : lo + block] += (1 - _weights(r, scale)).sum(axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(fits)), pa.int32()), pa.array(out)], ["i", "loss"])
+            r = np.abs(y[:, None] - x @ fits[lo : lo + block].T)
+            loss, weight = losses_and_weights(r, sigma)
+            out[lo : lo + block, 0] += loss.sum(axis=0)
+            out[lo : lo + block, 1] += (r < K * sigma).sum(axis=0)
+            out[lo : lo + block, 2] += (weight > 0).sum(axis=0)
+            out[lo : lo + block, 3:] += weight.T @ squares
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(fits)), pa.int32())] + [pa.array(c) for c in out.T], ["i"] + [f"v{j}" for j in range(out.shape[1])])
+
+
+def fitting_rows(predictors: DataFrame, libraries_only: bool) -> DataFrame:
+    """The targets that a model is fitted on: those with wall time, of libraries only if asked. predictors: target_id, wall_ns and others."""
+    out = predictors.filter("wall_ns > 0")
+    return out.filter(F.endswith("target_id", F.lit("/lib"))) if libraries_only else out
+
+
+def target_costs(predictors: DataFrame, x: list[str], model: list[float] | None) -> DataFrame:
+    """target_id, cost_ms: what the model predicts; without one the wall time, and the attributed time (first of x) of targets that have none. Milliseconds."""
+    if model is not None:
+        return predictors.select("target_id", prediction(x, model).alias("cost_ms"))
+    return predictors.select("target_id", F.when(F.col("wall_ms") > 0, F.col("wall_ms")).otherwise(F.col(x[0])).alias("cost_ms"))
 
 
-def _weights(r: np.ndarray, top: float) -> np.ndarray:
-    q = np.clip(1 - (r / top) ** 2, 0, None)
-    return q * q
+def validation(rows: DataFrame, threshold: float) -> DataFrame:
+    """abs_error, target_id, line: the lines of the validation table; the worst prediction comes first when sorted by abs_error. rows: target_id, wall_ms, predicted; only those with wall time count."""
+    text = lambda c: F.lpad(c, 9, " ")
+    delta = F.col("predicted") - F.col("wall_ms")
+    name = F.rpad(drawing.shortened(F.col("target_id"), 35), 35, " ")
+    mark = F.when(F.abs(delta) > threshold, F.lit("  *")).otherwise(F.lit("   "))
+    line = F.concat_ws(" ", name, *[text(drawing.long_duration(c)) for c in (F.col("wall_ms"), F.col("predicted"), delta)], mark)
+    return rows.filter("wall_ms > 0").select(F.abs(delta).alias("abs_error"), "target_id", line.alias("line"))
 
 
 def ranked(rows: DataFrame, actual: Column, predicted: Column, threshold: float) -> DataFrame:

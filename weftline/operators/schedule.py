@@ -72,7 +72,7 @@ def schedule(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def summary(sched: DataFrame) -> DataFrame:
-    """For each graph: critical_path_ns, total_cost_ns, parallelism_ratio (0 without a path), target_count, critical_count."""
+    """For each graph: critical_path_ns, total_cost_ns, parallelism_ratio (0 without a path), target_count, critical_count. `lanes` has the lane of each node."""
     s = sched.groupBy("graph").agg(F.max("finish_ns").alias("critical_path_ns"), F.sum("cost_ns").alias("total_cost_ns"), F.count("*").alias("target_count"), F.sum(F.col("critical").cast("long")).alias("critical_count"))
     return s.withColumn("parallelism_ratio", F.when(F.col("critical_path_ns") > 0, F.round(F.col("total_cost_ns") / F.col("critical_path_ns"), 9)).otherwise(0.0))
 
@@ -127,3 +127,23 @@ def horizons(nodes: DataFrame, edges: DataFrame, own: DataFrame) -> DataFrame:
 
     start = nodes.select("graph", "node").join(own, ["graph", "node"], "left").withColumn("horizon", F.coalesce("horizon", F.lit(0)).cast("long"))
     return start.groupBy("graph").cogroup(edges.select("graph", "src", "dst").groupBy("graph")).applyInPandas(run, f"graph {kind['graph']}, node {kind['node']}, horizon long")
+
+
+def path_through(sched: DataFrame, node) -> DataFrame:
+    """graph, step, node: the longest path through one node, from its first predecessor to its last successor. sched: as `schedule` gives it, small enough for a worker."""
+    kind = dict(sched.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pred, succ = ({n: None if pd.isna(m) else m for n, m in zip(pdf["node"], pdf[c])} for c in ("forward_pred", "backward_succ"))
+        way, at = [], node if node in pred else None
+        while at is not None:
+            way.append(at)
+            at = pred[at]
+        way.reverse()
+        at = succ[node] if way else None
+        while at is not None:
+            way.append(at)
+            at = succ[at]
+        return pd.DataFrame({"graph": pdf["graph"].iloc[0], "step": range(len(way)), "node": way}, columns=["graph", "step", "node"])
+
+    return sched.select("graph", "node", "forward_pred", "backward_succ").groupBy("graph").applyInPandas(run, f"graph {kind['graph']}, step long, node {kind['node']}")

@@ -1 +1,5 @@
 
+
+from . import naming, queries
+
+__all__ = ["naming", "queries"]

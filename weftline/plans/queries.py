@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import paths
@@ -34,13 +34,19 @@ def package_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def scc_of(spark: SparkSession, sf: str) -> DataFrame:
     """node, graph (package), scc, cost_ns."""
     s = ws.symbols(spark, sf).select(F.col("id").alias("node"), F.col("pkg").alias("graph"), "cost_ns")
-    inside = graph.intra_edges(ws.references(spark, sf), s)
-    return graph.strong_components(s, inside)
+    return graph.strong_components(s, package_references(spark, sf))
 
 
-def scc_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Components and their edges within each package."""
-    scc = scc_of(spark, sf)
+def package_references(spark: SparkSession, sf: str) -> DataFrame:
+    """graph (package), s, t: the references within each package, with those that tie impls to an anchor."""
+    s = ws.symbols(spark, sf)
+    inside = graph.intra_edges(ws.references(spark, sf), s.select(F.col("id").alias("node"), F.col("pkg").alias("graph")))
+    return graph.with_back_edges(inside, s.filter("symbol_type = 'impl'").select(F.col("id").alias("impl")))
+
+
+def scc_graph(spark: SparkSession, sf: str, scc: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Components and their edges within each package. scc: the components, if they are known."""
+    scc = graph.cut(scc_of(spark, sf)) if scc is None else scc
     nodes = scc.groupBy("graph", F.col("scc").alias("node")).agg(F.sum("cost_ns").alias("cost_ns"))
     owner = scc.select("node", "scc", "graph")
     edges = graph.condensed_edges(ws.references(spark, sf), owner)
@@ -119,8 +125,8 @@ def scc_dag_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(" SELECT a, b FROM reach")
-def reachability_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.closure(ws.references(spark, sf).filter("s div 10 = t div 10").select(F.col("s").alias("src"), F.col("t").alias("dst")))
+def reachability(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.closure(package_references(spark, sf).select(F.col("s").alias("src"), F.col("t").alias("dst")))
 
 
 SCC_INNER = """, inner_edge AS (SELECT DISTINCT src, dst FROM sccedge WHERE src // 40 = dst // 40),
@@ -139,14 +145,18 @@ def downset(spark: SparkSession, sf: str) -> DataFrame:
     return graph.downset(graph.cut(ws.package_edges(spark, sf)), ws.package_costs(spark, sf).filter("node % 10 = 7"))
 
 
-#: Longest paths by as many rounds as a path can have nodes; every round has a row for each node.
-PASSES = """, fwd_edge AS (SELECT src, dst FROM edge UNION ALL SELECT node, node FROM node), bwd_edge AS (SELECT dst AS src, src AS dst FROM edge UNION ALL SELECT node, node FROM node),
- fwd(k, node, f) AS (SELECT 0, node, cost_ns FROM node UNION ALL SELECT fwd.k + 1, e.dst, CAST(max(n.cost_ns + CASE WHEN e.src = e.dst THEN 0 ELSE fwd.f END) AS BIGINT)
-  FROM fwd JOIN fwd_edge e ON e.src = fwd.node JOIN node n ON n.node = e.dst WHERE fwd.k < 60 GROUP BY fwd.k, e.dst),
- bwd(k, node, f) AS (SELECT 0, node, cost_ns FROM node UNION ALL SELECT bwd.k + 1, e.dst, CAST(max(n.cost_ns + CASE WHEN e.src = e.dst THEN 0 ELSE bwd.f END) AS BIGINT)
-  FROM bwd JOIN bwd_edge e ON e.src = bwd.node JOIN node n ON n.node = e.dst WHERE bwd.k < 60 GROUP BY bwd.k, e.dst),
- sched AS (SELECT n.node, n.cost_ns, CAST(a.f - n.cost_ns AS BIGINT) AS start_ns, a.f AS finish_ns, CAST(b.f - n.cost_ns AS BIGINT) AS longest_from_ns,
-  CAST((SELECT max(f) FROM fwd WHERE k = 60) - a.f - b.f + n.cost_ns AS BIGINT) AS slack_ns FROM node n JOIN fwd a ON a.node = n.node AND a.k = 60 JOIN bwd b ON b.node = n.node AND b.k = 60)"""
+def passes_sql(node: str, edge: str, sched: str, rounds: int = 400) -> str:
+    """Longest paths by as many rounds as a path has nodes at most (sf 0.1 has paths of 127 packages); every round has a row for each node."""
+    half = lambda name, a, b: f"""{name}_e AS (SELECT {a} AS src, {b} AS dst FROM {edge} UNION ALL SELECT node, node FROM {node}),
+ {name}(k, node, f) AS (SELECT 0, node, cost_ns FROM {node} UNION ALL SELECT {name}.k + 1, e.dst, CAST(max(n.cost_ns + CASE WHEN e.src = e.dst THEN 0 ELSE {name}.f END) AS BIGINT)
+  FROM {name} JOIN {name}_e e ON e.src = {name}.node JOIN {node} n ON n.node = e.dst WHERE {name}.k < {rounds} GROUP BY {name}.k, e.dst)"""
+    f, r = f"{sched}_f", f"{sched}_b"
+    return f""", {half(f, "src", "dst")}, {half(r, "dst", "src")},
+ {sched} AS (SELECT n.node, n.cost_ns, CAST(a.f - n.cost_ns AS BIGINT) AS start_ns, a.f AS finish_ns, CAST(b.f - n.cost_ns AS BIGINT) AS longest_from_ns,
+  CAST((SELECT max(f) FROM {f} WHERE k = {rounds}) - a.f - b.f + n.cost_ns AS BIGINT) AS slack_ns FROM {node} n JOIN {f} a ON a.node = n.node AND a.k = {rounds} JOIN {r} b ON b.node = n.node AND b.k = {rounds})"""
+
+
+PASSES = passes_sql("node", "edge", "sched")
 
 
 @query(PASSES + " SELECT node, cost_ns, start_ns, finish_ns FROM sched")
@@ -195,11 +205,12 @@ def scc_heatmap(spark: SparkSession, sf: str) -> DataFrame:
     return schedule.schedule(nodes, edges).select("graph", "node", "start_ns", "finish_ns", "slack_ns")
 
 
-def scc_horizon_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Horizon of each component: the latest finish of the packages that it and those before it refer to."""
-    nodes, edges = scc_graph(spark, sf)
+def scc_horizon_rows(spark: SparkSession, sf: str, scc: DataFrame | None = None) -> DataFrame:
+    """Horizon of each component: the latest finish of the packages that it and those before it refer to. scc: the components, if they are known."""
+    scc = graph.cut(scc_of(spark, sf)) if scc is None else scc
+    nodes, edges = scc_graph(spark, sf, scc)
     finish = schedule.schedule(*package_graph(spark, sf)).select(F.col("node").alias("other"), "finish_ns")
-    scc = scc_of(spark, sf).select(F.col("node").alias("s"), "graph", F.col("scc").alias("node"))
+    scc = scc.select(F.col("node").alias("s"), "graph", F.col("scc").alias("node"))
     out = ws.references(spark, sf).select("s", F.expr("t div 40").alias("other")).join(scc, "s").filter("other <> graph").join(finish, "other")
     own = out.groupBy("graph", "node").agg(F.max("finish_ns").alias("horizon"))
     return schedule.horizons(nodes, edges, own)
@@ -326,10 +337,9 @@ def proportional_shares(spark: SparkSession, sf: str) -> DataFrame:
     return ws.symbols(spark, sf).select("id", costs.proportional_share(F.col("cost_ns"), F.col("id") % 5, F.lit(7)).alias("share_ns"))
 
 
-@query(PASSES + """, way AS (SELECT node, start_ns, row_number() OVER (ORDER BY start_ns, node) AS step FROM sched WHERE slack_ns = 0) SELECT node, start_ns, step FROM way""")
+@query(PASSES + " SELECT node, start_ns FROM sched WHERE slack_ns = 0")
 def critical_targets(spark: SparkSession, sf: str) -> DataFrame:
-    got = schedule.schedule(*package_graph(spark, sf)).filter("critical")
-    return got.select("node", "start_ns", F.row_number().over(Window.orderBy("start_ns", "node")).cast("long").alias("step"))
+    return schedule.schedule(*package_graph(spark, sf)).filter("critical").select("node", "start_ns")
 
 
 def named_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -346,7 +356,7 @@ def as_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 @query()
 def condense_partitions(spark: SparkSession, sf: str) -> DataFrame:
-    scc = scc_of(spark, sf)
+    scc = graph.cut(scc_of(spark, sf))
     nodes = one_graph(scc.groupBy(F.col("scc").alias("node")).agg(F.sum("cost_ns").alias("cost_ns")))
     edges = one_graph(graph.condensed_edges(ws.references(spark, sf), scc.select("node", "scc")))
     return partition.partitions(nodes, edges).select("node", "part")
@@ -379,8 +389,9 @@ SHATTER = HORIZON + """, grp AS (SELECT node, dense_rank() OVER (ORDER BY horizo
  UNION SELECT CAST(t // 40 AS VARCHAR), '3::group_' || a.g FROM dep JOIN sg a ON a.id = s WHERE t // 40 <> 3 UNION SELECT '3::group_' || b.g, CAST(s // 40 AS VARCHAR) FROM dep JOIN sg b ON b.id = t WHERE s // 40 <> 3)""")
 def shatter_graph(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = named_graph(spark, sf)
-    grp = graph.dense_groups(scc_horizon_rows(spark, sf).filter("graph = 3")).select(F.col("node").alias("scc"), "grp")
-    sym = graph.cut(scc_of(spark, sf).filter("graph = 3").join(grp, "scc").select("node", "grp", "cost_ns"))
+    scc = graph.cut(scc_of(spark, sf))
+    grp = graph.dense_groups(scc_horizon_rows(spark, sf, scc).filter("graph = 3")).select(F.col("node").alias("scc"), "grp")
+    sym = graph.cut(scc.filter("graph = 3").join(grp, "scc").select("node", "grp", "cost_ns"))
     groups = sym.groupBy("grp").agg(F.sum("cost_ns").alias("cost_ns"), F.count("*").alias("symbol_count"))
     e = ws.references(spark, sf)
     a, b = sym.select(F.col("node").alias("s"), F.col("grp").alias("to")), sym.select(F.col("node").alias("t"), F.col("grp").alias("at"))

@@ -69,7 +69,9 @@ ev AS (SELECT user_id % 50 AS pkg, CASE WHEN event_id % 3 = 0 THEN 'metadata_dec
   CAST(round(value * 1000) AS BIGINT) AS self_ns FROM events),
 node AS (SELECT pkg AS node, CAST(sum(cost_ns) AS BIGINT) AS cost_ns FROM sym GROUP BY pkg),
 edge AS (SELECT DISTINCT t // 40 AS src, s // 40 AS dst FROM dep WHERE t // 40 <> s // 40),
-intra AS (SELECT s, t FROM dep WHERE s // 10 = t // 10),
+home AS (SELECT s, t FROM dep WHERE s // 40 = t // 40),
+backs AS (SELECT s, t, row_number() OVER (PARTITION BY s ORDER BY n, t) AS k FROM home JOIN (SELECT t, count(*) AS n FROM home GROUP BY t) USING (t) WHERE s % 7 = 0),
+intra AS (SELECT s, t FROM home UNION SELECT t, s FROM backs WHERE k = 1),
 reach(a, b) AS (SELECT s, t FROM intra UNION SELECT r.a, i.t FROM reach r JOIN intra i ON r.b = i.s),
 scc AS (SELECT id, pkg, cost_ns, least(id, coalesce((SELECT min(r.b) FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a WHERE r.a = sym.id), id)) AS scc FROM sym),
 sccedge AS (SELECT DISTINCT b.scc AS src, a.scc AS dst FROM dep JOIN scc a ON a.id = s JOIN scc b ON b.id = t WHERE a.scc <> b.scc)
