@@ -233,6 +233,8 @@ def test_nearest(spark):
     assert hit >= 0.9 * 250 and not {r.query_id for r in got} & {900, 901, 902, 903, 904}
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert hamming_index.nearest(none, none).count() == 0
+    one = df.filter("vec_id = 3")
+    assert hamming_index.nearest(one, one).count() == 0
     two = df.filter("vec_id < 2")
     assert hamming_index.nearest(two, two).count() == 2
 
@@ -242,6 +244,9 @@ def test_repeated_neighbours_are_rows(spark):
     df = spark.createDataFrame(rows + [rows[1], rows[0]], "vec_id long, embedding array<double>")
     got = hamming_index.nearest(df, df.filter("vec_id = 0"), k=3).collect()
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 1.0), (2, 1, 1.0), (3, 2, 2.0)]
+    many = spark.createDataFrame([(i, [float(i), 1.0, 2.0, 3.0]) for i in range(40)] + [rows[1]] * 30, "vec_id long, embedding array<double>")
+    got = hamming_index.nearest(many, many.filter("vec_id = 0"), k=33, part_rows=8).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [1] * 31 + [2, 3]
 
 
 def test_pages(spark):

@@ -123,13 +123,18 @@ def test_linked_equals_all_pairs(sets):
     assert [find(root, i) for i in range(len(sets))] == [find(want, i) for i in range(len(sets))]
 
 
-def test_every_code_within_the_radius():
+@pytest.mark.parametrize("bits, width", [(128, 16), (64, 8), (100, 16)])
+def test_pigeonhole_finds_all(bits, width):
     rnd = np.random.default_rng(1)
-    codes = rnd.integers(1 << 24, size=400, dtype=np.uint64)
-    index = hamming_index.MultiIndex(codes, 24, 3)
-    for r in (0, 3, 8, 24):
-        want = np.flatnonzero(np.bitwise_count(codes ^ codes[7]) <= r)
-        assert index.within(codes[7], r).tolist() == want.tolist()
+    signs = rnd.integers(0, 2, size=(500, bits)).astype(bool)
+    signs[100:200] = signs[7] ^ (rnd.random((100, bits)) < 0.1)
+    codes = np.zeros((500, -(-bits // 64) * 8), np.uint8)
+    codes[:, : -(-bits // 8)] = np.packbits(signs, axis=1, bitorder="little")
+    index = hamming_index.MultiIndex(codes.view(np.uint64), bits, width)
+    for r in (0, 3, 8, 24, bits):
+        want = np.flatnonzero((signs ^ signs[7]).sum(axis=1) <= r)
+        rows, looked = index.within(codes.view(np.uint64)[7], r)
+        assert rows.tolist() == want.tolist() and len(rows) <= looked <= 500
 
 
 @given(st.lists(st.floats(-3, 3), min_size=1, max_size=7), st.lists(st.floats(0, 2), min_size=6, max_size=6))
