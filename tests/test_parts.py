@@ -55,11 +55,11 @@ def test_robust_scale_and_score_over_all_rows(spark):
     df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(m, v)], "a double, b double, y double")
     fit = regression.robust(df, ["a", "b"], "y")
     residual = np.abs(v - m @ np.linalg.lstsq(m, v, rcond=None)[0])
-    assert math.isclose(fit["inlier_threshold"], np.quantile(residual, 0.9, method="nearest"), rel_tol=1e-9)
+    assert math.isclose(fit["sigma"], np.quantile(residual, 0.9, method="nearest"), rel_tol=1e-9) and math.isclose(fit["inlier_threshold"], regression.K * fit["sigma"])
     assert all(math.isclose(x, w, rel_tol=0.05) for x, w in zip(fit["coefficients"], (3, 2)))
     fits, scale = np.array([[3.0, 2.0], [1.0, 1.0]]), 2.0
-    got = list(regression._losses(df.toArrow().to_batches(max_chunksize=700), fits, scale))[0]
-    want = [(1 - regression._weights(np.abs(v - m @ f), scale)).sum() for f in fits]
+    got = list(regression._part_sums(df.toArrow().to_batches(max_chunksize=700), fits, scale))[0]
+    want = [regression.losses_and_weights(np.abs(v - m @ f), scale)[0].sum() for f in fits]
     assert np.allclose(got.column(1).to_numpy(), want)
 
 
