@@ -209,3 +209,41 @@ def test_neighbours_by_region():
                 left -= set(region)
     groups = lambda r: {frozenset(i for i in range(200) if r[i] == x) for x in set(r)}
     assert groups(root) == groups(want)
+
+
+def test_text_of_made_up_pages_by_brute_force():
+    """The cut of least cost over all labellings, on pages whose markup leaves blocks open; flow decides some against the classifier."""
+    rnd, over, flowed = random.Random(8), 0, 0
+    words = "the river. of, owls and seven! oak tree near dusk".split()
+    for _ in range(150):
+        parts = []
+        for _ in range(rnd.randrange(1, 9)):
+            tag = rnd.choice(["p", "p", "div", "li", "h2"])
+            text = " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 2, 5, 30, 80])))
+            parts.append(f"<{tag}>{f'<a href=x>{text}</a>' if rnd.random() < 0.2 else text}</{tag}>")
+            if rnd.random() < 0.3:
+                parts.append(rnd.choice(["<section>", "</section>", "<div class=story>", "</div>"]))
+        page = "".join(parts)
+        found = html_text.blocks(page)
+        cost, edges = html_text.scores(found, html_text.FALLBACK), html_text.smoothness(found)
+        total = lambda label: sum(abs(s) for s, k in zip(cost, label) if k != (s > 0)) + sum(w for a, b, w in edges if label[a] != label[b])  # noqa: E731, B023
+        label = html_text.minimum_cut(cost, edges)
+        least = min(map(total, itertools.product([False, True], repeat=len(cost))))
+        assert abs(total(label) - least) < 1e-6
+        assert html_text.main_text(page) == "\n\n".join(t for (t, *_), k in zip(found, label) if k)
+        over += sum(k != (s > 0) for s, k in zip(cost, label))
+        flowed += total([s > 0 for s in cost]) > least + 1e-6
+    assert over > 20 and flowed > 10
+
+
+def test_lines_within_blocks():
+    page = '<article><p>Story <span class="ad">Buy now!</span>goes <span style="display:none">x<span>y</span>z</span>on <math><mi>a</mi><mo>+</mo></math> here.</p><p class="alert-free side-story">More of it.</p><div class="comments"><p>I disagree with all of this, at length.</p></div></article>'
+    assert html_text.main_text(page) == "Story goes on a+ here.\n\nMore of it."
+
+
+def test_classifier_learns_and_falls_back():
+    rnd = np.random.default_rng(2)
+    x = np.column_stack([np.ones(400), rnd.normal(size=(400, 3))])
+    y = x @ [0.2, 2.0, -1.0, 0.0] + rnd.normal(0, 0.3, 400) > 0
+    w = html_text.fitted(x, y)
+    assert ((x @ w > 0) == y).mean() > 0.93 and html_text.fitted(x[:10], y[:10]) is html_text.FALLBACK
