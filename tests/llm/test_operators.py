@@ -200,6 +200,38 @@ def test_contexts_find_more(spark):
     assert len(got[100]) == 2 and not got[200] and not got[0]
 
 
+def test_base_spans_equal_brute_force(spark):
+    """The contract's patterns by Python's re on made-up texts."""
+    import random
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m, d: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m, d: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m, d: 13 <= len(d) <= 19 and luhn(d)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m, d: 9 <= len(d) <= 15),
+    }
+    rnd = random.Random(6)
+    bits = ["a.b@c.de", "x@y", "@", ".", "10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "4111111111111111", "+1 (212) 555-1234", "+", "7", " ", " ", "-", "é", "世", "\n", "word", "1.2.3.4.5"]
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randrange(14)))) for i in range(400)]
+    want = {}
+    for i, t in rows:
+        want[i] = ",".join(f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in kinds.items() for m in re.finditer(p, t) if ok(m[0], re.sub("[^0-9]", "", m[0])))
+    got = {r.doc_id: r.s for r in pii.detected(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.listed(pii.KINDS[:4]).alias("s")).collect()}
+    assert got == want
+
+
+def test_assigned_literals_are_seeds(spark):
+    rows = [(i, f'some words here token = "{i:04}beef{i * 7919:032x}" and more of them') for i in range(6)]
+    rows += [(10, 'set key: \'Zx81-AbCd+efGh/0123456789\' now'), (11, 'title = "a plain long quoted title"'), (12, 'version = "10203040506070809010203"'), (13, "deadbeef" * 5)]
+    got = {r.doc_id: r.context for r in pii.detected(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    assert all([text[i][s.start : s.end] for s in got[i]] == [text[i].split('"')[1]] for i in range(6))
+    assert len(got[10]) == 1 and not got[11] and not got[13]
+
+
 def test_contexts_find_what_occurs_once(spark):
     cards = ["4111111111111111", "5500005555555559", "4012888888881881", "5105105105105100", "4222222222222220"]
     rows = [(i, f"word{i} card {n} and phone +1 (743) 555-382{i} end of {n} text") for i, n in enumerate(cards)]

@@ -4,7 +4,8 @@ Four kinds have fixed patterns (email, ip, card, phone). Words that hold a digit
 candidates, and so are runs of short groups of digits with one blank between them. The word to
 the left of a candidate (its cue) is a lexical pattern; the cue with the candidate's shape is
 another one, scored apart. Candidates at which a fixed pattern found something are the seeds;
-their instance is the whole span found. In each round a pattern's confidence is the share of its
+their instance is the whole span found. Long literals of letters and digits that are assigned
+(`token = "04deb..."`) are seeds of their own, and become spans of the kind `context`. In each round a pattern's confidence is the share of its
 distinct instances that are known. An instance becomes known by one confident pattern if the cue
 is specific (candidates follow at least one in twenty of its occurrences in the texts; words like
 "of" are not), else by confident patterns with a shape of two cues. Rounds go on until no instance is new.
@@ -36,6 +37,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 GROUP = r"(?![0-9]++\.[0-9]++\.[0-9]++\.[0-9])(?:[0-9][().+/-]{0,2}+){1,10}+(?=[^\s0-9\p{L}@]*+(?:\s|$))"
 RUN = rf"(?<!\S)[^\s0-9@\p{{L}}+(]*+[+(]*+{GROUP}(?:\x20\(*+{GROUP})++"
+#: A long literal in quotes; where letters and digits mix in it and a sign of assignment stands before it, it is a seed as well.
+ASSIGNED = r"""^["'][0-9A-Za-z_/+=.-]{20,}+["']"""
 KINDS = ("email", "ip", "card", "phone", "context")
 
 
@@ -112,12 +115,13 @@ def scanned(docs: DataFrame, whole: bool = False) -> DataFrame:
     def trimmed(x):
         rest = F.regexp_replace(x["what"], r"^[^\p{L}0-9+(@]++", "")
         word = F.lower(F.regexp_extract(x["left"], r"(?<!\S)(\S++)\s*+$", 1))
-        return F.struct((x["end"] - F.length(rest)).alias("start"), F.regexp_replace(rest, r"(?<=[\p{L}0-9)])[^\p{L}0-9)]++$", "").alias("core"), word.alias("word"))
+        assigned = x["what"].rlike(ASSIGNED) & x["what"].rlike("[0-9]") & x["what"].rlike("[A-Za-z]") & word.rlike("[=:]$")
+        return F.struct((x["end"] - F.length(rest)).alias("start"), F.regexp_replace(rest, r"(?<=[\p{L}0-9)])[^\p{L}0-9)]++$", "").alias("core"), word.alias("word"), assigned.alias("assigned"))
 
     def shaped(c):
         shape = F.when(c["core"].rlike(r"^[0-9a-f]{16,}+$"), F.lit("hex")).otherwise(F.substring(F.regexp_replace(F.regexp_replace(c["core"], r"[0-9]++", "9"), r"\p{L}++", "a"), 1, 12))
         long = F.length(F.regexp_replace(c["core"], r"[^\p{L}0-9]++", "")) >= 6
-        return F.struct(c["start"].alias("start"), (c["start"] + F.length(c["core"])).alias("end"), F.xxhash64(c["core"]).alias("instance"), F.xxhash64(c["word"]).alias("cue"), F.xxhash64(c["word"], shape).alias("pattern"), (c["word"] != "").alias("context"), long.alias("long"))
+        return F.struct(c["start"].alias("start"), (c["start"] + F.length(c["core"])).alias("end"), F.xxhash64(c["core"]).alias("instance"), F.xxhash64(c["word"]).alias("cue"), F.xxhash64(c["word"], shape).alias("pattern"), (c["word"] != "").alias("context"), long.alias("long"), c["assigned"].alias("assigned"))
 
     t = t.withColumns({k: F.transform(k, trimmed) for k in ("cand", "run")}).withColumns({k: F.transform(k, shaped) for k in ("cand", "run")})
     # where a run starts, the cue is the run's, not that of its first word
@@ -131,7 +135,7 @@ def candidates(scan: DataFrame) -> DataFrame:
     c = scan.filter(F.size("cands") > 0).select("rid", "every", F.explode("cands").alias("c")).select("rid", "every", "c.*")
     over = lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])
     c = c.withColumn("base", F.get(F.filter("every", lambda s: over(s) & (F.col("start") <= s["start"] + 1)), F.lit(0))["instance"])
-    return c.select("rid", "start", "end", F.coalesce("base", "instance").alias("instance"), "cue", "pattern", "context", "long", F.col("base").isNotNull().alias("seed"), F.exists("every", over).alias("inside"))
+    return c.select("rid", "start", "end", F.coalesce("base", "instance").alias("instance"), "cue", "pattern", "context", "long", (F.col("base").isNotNull() | F.col("assigned")).alias("seed"), F.exists("every", over).alias("inside"))
 
 
 def specific_cues(c: DataFrame, texts: DataFrame, least: int, specific: float) -> DataFrame:
