@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .held import held
+from .held import held, tidied
 from .words import ChunkEncoder, in_slices, letters_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -114,7 +114,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             got = [bpe.offsets(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([[x[k] for x in g] for g in got], pa.list_(pa.int32())) for k in range(3)], ["doc_id", "ids", "starts", "ends"])
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return rows.mapInArrow(tidied(run), "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -126,7 +126,7 @@ def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
             got = [bpe.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in got], pa.string())], ["doc_id", "bytes", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary, text string")
+    return ids.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, bytes binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -144,7 +144,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(tidied(run), SCHEMA)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

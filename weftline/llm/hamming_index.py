@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .held import tidied
 from .scratch import partitions, stored
 
 FOUND = "query_id long, vec_id long, score double"
@@ -205,12 +206,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 256
     codes.learn_law(sample)
 
     asked = clean(queries).filter(F.size("embedding") == dims).distinct()
-    asked = asked.mapInArrow(partial(prepared, codes=codes, sample=sample, k=k, share=len(sample) / n, spreads=spreads), "vec_id long, embedding array<double>, radius int")
+    asked = asked.mapInArrow(tidied(partial(prepared, codes=codes, sample=sample, k=k, share=len(sample) / n, spreads=spreads)), "vec_id long, embedding array<double>, radius int")
     parts = max(-(-n // part_rows), min(partitions(spark), -(-n // 4096)))
     index = rows.select(F.pmod(F.xxhash64("vec_id", "embedding", F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("part"), "vec_id", "embedding", F.lit(None).cast("int").alias("radius"))
     asked = stored(asked, "queries").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "embedding", "radius")
     tasks = index.union(asked).repartition(parts, "part").sortWithinPartitions("part", F.col("radius").isNotNull())
-    found = tasks.mapInArrow(partial(searched, codes=codes, k=k), FOUND)
+    found = tasks.mapInArrow(tidied(partial(searched, codes=codes, k=k)), FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

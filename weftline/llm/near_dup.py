@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .components import components
-from .held import held
+from .held import held, tidied
 from .scratch import discard, noted, partitions, release, stored
 
 SPACES = re.compile("[\x20\x09-\x0d]+")
@@ -121,7 +121,7 @@ def signed(docs: DataFrame, k: int, trees: int, depth: int, whole: bool) -> Data
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists(head), lists(tail), part.column(2)], ["rid", "doc_id", "n_shingles", "digest", "head", "tail", "row"])
 
     schema = StructType.fromDDL("rid long, doc_id long, n_shingles long, digest binary, head array<long>, tail array<long>").add(rows.schema["row"])
-    return stored(rows.mapInArrow(sign, schema), "signed")
+    return stored(rows.mapInArrow(tidied(sign), schema), "signed")
 
 
 PART = "tree int, head long, tail long, a long, b long, n long"
@@ -272,8 +272,8 @@ def matched(docs: DataFrame, k: int, p: int, q: int, few: int, block_bytes: int,
     narrow = rows.select("rid", "doc_id", "n_shingles", "digest")
     classes = stored(narrow.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")), "classes")
     reps = rows.select("rid", "head", "tail").join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
-    parts = stored(reps.select("rid", "head", "tail").mapInArrow(partial(sorted_part, trees=trees), PART), "signatures")
-    across = parts.filter("n > 0").select("tree", "head", "tail", "a", "n").repartition(partitions(spark), "tree", "head").mapInArrow(partial(neighbours, depth=depth, few=few), "a long, b long")
+    parts = stored(reps.select("rid", "head", "tail").mapInArrow(tidied(partial(sorted_part, trees=trees)), PART), "signatures")
+    across = parts.filter("n > 0").select("tree", "head", "tail", "a", "n").repartition(partitions(spark), "tree", "head").mapInArrow(tidied(partial(neighbours, depth=depth, few=few)), "a long, b long")
     groups = stored(components(parts.filter("n = 0").select("a", "b").union(across)), "groups")
     discard(parts)
 
@@ -284,7 +284,7 @@ def matched(docs: DataFrame, k: int, p: int, q: int, few: int, block_bytes: int,
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     tasks = members.select("root", "rid", "text", "block", F.explode(F.when(F.col("blocks") > 1, F.filter(other, lambda o: o != F.col("block"))).otherwise(other)).alias("o"))
     tasks = tasks.select(F.xxhash64("root", F.least("block", "o"), F.greatest("block", "o")).alias("task"), "rid", "text")
-    links = tasks.repartition(partitions(spark), "task").sortWithinPartitions("task", "rid").mapInArrow(partial(compared, k=k, p=p, q=q), "a long, b long")
+    links = tasks.repartition(partitions(spark), "task").sortWithinPartitions("task", "rid").mapInArrow(tidied(partial(compared, k=k, p=p, q=q)), "a long, b long")
     joined = components(links)
 
     of_class = classes.select("digest", "least", "cid").join(joined.select(F.col("node").alias("cid"), "root"), "cid", "left").select("digest", "least", F.coalesce("root", "cid").alias("root"))

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .held import tidied
 from .scratch import stored
 from .words import in_slices, library_encoder
 
@@ -41,7 +42,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             ids = enc.batch(b.column(2).to_pylist(), end)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), width), ids], ["rid", "doc_id", "n_tokens", "ids"])
 
-    return stored(rows.mapInArrow(encode, TOKENS), "tokens")
+    return stored(rows.mapInArrow(tidied(encode), TOKENS), "tokens")
 
 
 def patterns(total: int, parts: int) -> np.ndarray:
@@ -237,7 +238,7 @@ def digest(df: DataFrame) -> DataFrame:
             crcs = [zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(c["ids"].to_pylist(), c["width"].to_pylist())]
             yield pa.RecordBatch.from_arrays([c["doc_id"], c["start"], c["length"], pa.array(crcs, pa.int64()), c["doc_tokens"], c["sequence_id"], c["offset"]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return df.mapInArrow(crc, schema)
+    return df.mapInArrow(tidied(crc), schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

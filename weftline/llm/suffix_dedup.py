@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blind_trie import deep_shallow
-from .held import held
+from .held import held, tidied
 from .near_dup import mixed
 from .scratch import free, partitions, scratch_path, stored
 
@@ -256,16 +256,16 @@ def repeats_removed(docs: DataFrame, length: int = 100, k: int = 50, whole: bool
     rows = spark.table(name)
     spark.sql(f"drop table {name}")  # the name only: rows knows its files and buckets
 
-    marks = rows.select("rid", "doc_id", "text").mapInArrow(partial(found_anchors, length=length, k=k), ANCHORS)
+    marks = rows.select("rid", "doc_id", "text").mapInArrow(tidied(partial(found_anchors, length=length, k=k)), ANCHORS)
     marks = stored(marks.repartition(n, "spread").mapInArrow(decided, "rid long, pos int, gram long"), "marks")
     crowded = stored(marks.filter("gram is not null").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("gram", F.lit(True).alias("crowded")), "crowded")
     asked = marks.filter("gram is not null").join(crowded, "gram", "left")
     asked = asked.groupBy("rid").agg(F.collect_list(F.struct("pos", "gram", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("asked"))
     asked = rows.select("rid", "doc_id", "text").join(asked, "rid")
-    around = asked.select("rid", "doc_id", "text", "asked").mapInArrow(partial(contexts, length=length, k=k), "gram long, doc long, rid long, pos int, left binary, right binary")
-    part = stored(around.repartition(n, "gram").mapInArrow(partial(covered, length=length, k=k), "rid long, lo long, hi long"), "part")
+    around = asked.select("rid", "doc_id", "text", "asked").mapInArrow(tidied(partial(contexts, length=length, k=k)), "gram long, doc long, rid long, pos int, left binary, right binary")
+    part = stored(around.repartition(n, "gram").mapInArrow(tidied(partial(covered, length=length, k=k)), "rid long, lo long, hi long"), "part")
     if not crowded.isEmpty():
-        every = asked.filter(F.exists("asked", lambda x: x["crowded"])).select("rid", "doc_id", "text", "asked").mapInArrow(partial(strings, length=length, k=k), "key binary, doc long, rid long, lo long")
+        every = asked.filter(F.exists("asked", lambda x: x["crowded"])).select("rid", "doc_id", "text", "asked").mapInArrow(tidied(partial(strings, length=length, k=k)), "key binary, doc long, rid long, lo long")
         every = stored(every.distinct(), "strings")
         first = every.groupBy("key").agg(F.min(F.struct("doc", "rid", "lo")).alias("first"))
         again = every.join(first, "key").filter(F.struct("doc", "rid", "lo") != F.col("first"))
@@ -275,7 +275,7 @@ def repeats_removed(docs: DataFrame, length: int = 100, k: int = 50, whole: bool
     part = part.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("part"))
     every = rows.join(full, "rid", "left").join(part, "rid", "left").select("rid", "doc_id", "text", "full", "part", *["row"] * whole)
     schema = StructType.fromDDL(RESULT + ", kept string" * whole)
-    return every.mapInArrow(partial(cut, length=length, k=k, texts=whole), schema.add(rows.schema["row"]) if whole else schema)
+    return every.mapInArrow(tidied(partial(cut, length=length, k=k, texts=whole)), schema.add(rows.schema["row"]) if whole else schema)
 
 
 def cleaned_documents(docs: DataFrame, **options) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
+from .held import tidied
 from .scratch import partitions, scratch_path
 from .words import in_slices, library_encoder
 
@@ -94,7 +95,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if keys:
             yield row()
 
-    parts.mapInArrow(encode, SCHEMA).write.option("compression", "zstd").parquet(path)
+    parts.mapInArrow(tidied(encode), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_store(spark: SparkSession, path: str) -> DataFrame:
