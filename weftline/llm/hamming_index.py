@@ -106,16 +106,18 @@ class MultiIndex:
         for j in range(self.m):
             order = np.argsort(self.values[:, j], kind="stable")
             self.tables.append((order, np.searchsorted(self.values[order, j], np.arange((1 << width) + 1))))
-        self.weight = np.bitwise_count(np.arange(1 << width, dtype=np.uint32))
+        self.weight, self.probes = np.bitwise_count(np.arange(1 << width, dtype=np.uint32)), {}
 
     def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
         """All rows whose code is within the radius, and how many codes were looked at: those that agree in a substring to radius // m bits."""
-        mine = code.view(self.values.dtype)
+        mine, most = code.view(self.values.dtype), radius // self.m
+        if most not in self.probes:
+            self.probes[most] = np.flatnonzero(self.weight <= most)
         hit = np.zeros(len(self.codes), bool)
         for j, (order, start) in enumerate(self.tables):
             if hit.all():
                 break
-            probes = np.flatnonzero(self.weight <= radius // self.m) ^ int(mine[j])
+            probes = self.probes[most] ^ int(mine[j])
             lo, n = start[probes], start[probes + 1] - start[probes]
             lo, n = lo[n > 0], n[n > 0]
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -176,7 +178,7 @@ def searched(batches, codes: Codes, k: int):
             if asked.num_rows and held:
                 if index is None:
                     keys, x = (np.concatenate(c) for c in zip(*held))
-                    index = MultiIndex(codes(x), codes.bits)
+                    index = MultiIndex(codes(x), codes.bits, 16 if len(keys) > 1 << 16 else 8)  # about a vector for each value or more
                 yield answers(index, keys, x, asked.column("vec_id").to_numpy(), vectors_of(asked.column("embedding"), asked.num_rows), asked.column("radius").to_numpy())
 
 
@@ -207,10 +209,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 256
 
     asked = clean(queries).filter(F.size("embedding") == dims).distinct()
     asked = asked.mapInArrow(tidied(partial(prepared, codes=codes, sample=sample, k=k, share=len(sample) / n, spreads=spreads)), "vec_id long, embedding array<double>, radius int")
-    parts = max(-(-n // part_rows), min(partitions(spark), -(-n // 4096)))
+    parts = max(-(-n // part_rows), min(partitions(spark), -(-n // 8192)))
     index = rows.select(F.pmod(F.xxhash64("vec_id", "embedding", F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("part"), "vec_id", "embedding", F.lit(None).cast("int").alias("radius"))
     asked = stored(asked, "queries").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "embedding", "radius")
-    tasks = index.union(asked).repartition(parts, "part").sortWithinPartitions("part", F.col("radius").isNotNull())
+    tasks = index.union(asked).repartitionByRange(parts, "part").sortWithinPartitions("part", F.col("radius").isNotNull())
     found = tasks.mapInArrow(tidied(partial(searched, codes=codes, k=k)), FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
