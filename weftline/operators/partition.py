@@ -17,21 +17,24 @@ def merged(nodes: list, src: list, dst: list) -> dict:
     needs, users = adjacency(nodes, src, dst)
     order = ordered(nodes, needs, users)
     place = {n: i for i, n in enumerate(order)}
-    below = {}
-    for n in order:
-        below[n] = {n}.union(*(below[m] for m in needs[n]))
+    below = []  # for each place a bit for every place that can be reached from it, its own included
+    for i, n in enumerate(order):
+        bits = 1 << i
+        for m in needs[n]:
+            bits |= below[place[m]]
+        below.append(bits)
 
-    def reduced(wanted, covered):
-        kept, covered = set(), set(covered)
+    def reduced(wanted, part):
+        kept, covered = set(), inside.get(part, 0)
         for n in sorted(wanted, key=place.__getitem__, reverse=True):
-            if n not in covered:
+            if not covered >> place[n] & 1:
                 kept.add(n)
-                covered |= below[n]
+                covered |= below[place[n]]
         return kept
 
-    part = {n: n for n in nodes}
+    part, inside = {n: n for n in nodes}, {n: 1 << place[n] for n in nodes}
     members = {n: {n} for n in nodes}
-    wants = {n: reduced(needs[n], ()) for n in nodes}
+    wants = {n: reduced(needs[n], None) for n in nodes}
     wanted_by = {n: set() for n in nodes}
     for n in nodes:
         for m in wants[n]:
@@ -45,8 +48,9 @@ def merged(nodes: list, src: list, dst: list) -> dict:
         for m in wants[n]:
             wanted_by[m].discard(n)
         members[p] |= members.pop(n)
+        inside[p] |= inside[n]
         part.update(dict.fromkeys(members[p], p))
-        wants[p] = reduced((wants[p] | set(needs[n])) - members[p], members[p])
+        wants[p] = reduced((wants[p] | set(needs[n])) - members[p], p)
         for m in wants[p]:
             wanted_by[m].add(p)
         wants[n] = set()
