@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import downset
+from .graph import cut, downset
 
 
 def split_target(nodes: DataFrame, edges: DataFrame, parts: DataFrame, part_edges: DataFrame, source: str, new: str, selected: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -36,6 +36,26 @@ def split_target(nodes: DataFrame, edges: DataFrame, parts: DataFrame, part_edge
     return out_nodes, out_edges.distinct(), moved
 
 
+def split_targets(nodes: DataFrame, edges: DataFrame, parts: DataFrame, part_edges: DataFrame, operations: list) -> tuple[DataFrame, DataFrame, list]:
+    """nodes and edges after each operation (source, new, selected) in turn, and the components that each one moved.
+
+    parts: graph, node, cost_ns, symbol_count; part_edges: graph, src, dst. Components are those of the
+    workspace as it was, so a later operation counts again what an earlier one took from the same
+    source. A source that is no target or has no components changes and moves nothing.
+    """
+    every = []
+    for source, new, selected in operations:
+        own = cut(parts.filter(F.col("graph") == source).select("node", "cost_ns", "symbol_count"))
+        if own.isEmpty() or nodes.filter(F.col("node") == source).isEmpty():
+            every.append(own.select("node").limit(0))
+            continue
+        inner = cut(part_edges.filter(F.col("graph") == source).select("src", "dst"))
+        nodes, edges, moved = split_target(nodes, edges, own, inner, source, new, selected)
+        nodes, edges = cut(nodes), cut(edges)
+        every.append(moved)
+    return nodes, edges, every
+
+
 def shattered(nodes: DataFrame, edges: DataFrame, groups: DataFrame, group_edges: DataFrame, needs: DataFrame, used: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     """nodes and edges with `target` replaced by target::group_N.
 
