@@ -1,6 +1,7 @@
 """Partitions of random graphs against the rule worked out with plain sets."""
 
 import random
+import tracemalloc
 
 import pytest
 
@@ -45,3 +46,15 @@ def test_random_graph(seed):
 def test_long_chain_needs_bits_not_sets():
     n = 4000
     assert set(merged(list(range(n)), list(range(n - 1)), list(range(1, n))).values()) == {0}
+
+
+def test_memory_is_in_proportion_to_the_graph():
+    """A node that reaches a share of all others must not hold them: 20,000 nodes, three needs each, anywhere before."""
+    n, rnd = 20000, random.Random(1)
+    src, dst = [rnd.randrange(i) for i in range(1, n) for _ in range(3)], [i for i in range(1, n) for _ in range(3)]
+    tracemalloc.start()
+    try:
+        got = merged(list(range(n)), src, dst)
+        assert len(got) == n and tracemalloc.get_traced_memory()[1] < 2000 * n
+    finally:
+        tracemalloc.stop()
