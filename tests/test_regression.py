@@ -92,6 +92,13 @@ def test_robust_equals_brute_force(spark):
     assert regression.robust(table(spark, zero.tolist()), ["a", "b"], "y")["coefficients"][1] == 0
 
 
+def test_parts_of_the_robust_fit_follow_the_rows(spark, monkeypatch):
+    rows, parts, summed = table(spark, [(i % 5 + 1, i % 7 + 1, 2 * (i % 5) + i % 3) for i in range(60)]).repartition(40), [], regression._summed
+    monkeypatch.setattr(regression, "_summed", lambda r, fits, sigma: parts.append(r.rdd.getNumPartitions()) or summed(r, fits, sigma))
+    assert regression.robust(rows, ["a", "b"], "y", draws=20)["inliers"] > 0
+    assert parts == [1, 1, 1]
+
+
 def test_draws():
     every, whole = regression.subsets(5, 2, 100)
     assert whole and len(every) == 10

@@ -78,6 +78,7 @@ K = 2.5758293035489004
 EULER = 0.5772156649015329
 SEED = 0x6D61677361632B2B
 MASK = (1 << 64) - 1
+PART_ROWS = 1000
 
 
 def e1(x: np.ndarray) -> np.ndarray:
@@ -86,7 +87,9 @@ def e1(x: np.ndarray) -> np.ndarray:
     small, term, total = np.minimum(x, 1.0), np.ones_like(x), np.zeros_like(x)
     for k in range(1, 61):
         term = term * -small / k
-        total = total + term / k
+        before, total = total, total + term / k
+        if (total == before).all():  # terms only get smaller
+            break
     with np.errstate(divide="ignore", invalid="ignore"):
         near = -np.log(small) - EULER - total
     large, term, total, live = np.maximum(x, 1.0), np.ones_like(x), np.ones_like(x), np.ones(x.shape, bool)
@@ -94,6 +97,8 @@ def e1(x: np.ndarray) -> np.ndarray:
     for k in range(1, 61):
         term = term * -k / large
         live &= np.abs(term) <= last
+        if not live.any():
+            break
         total, last = np.where(live, total + term, total), np.abs(term)
     return np.where(x <= 0, np.inf, np.where(x <= 1, near, np.exp(-large) * total / large))
 
@@ -103,7 +108,7 @@ def losses_and_weights(r: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndar
     near, unit = r < K * sigma, 1 / math.sqrt(2 * math.pi) / sigma
     x = r * r / (2 * sigma * sigma)
     tail = e1(np.float64(K * K / 2))
-    over = lambda v: np.maximum(e1(v) - tail, 0)
+    over = lambda v: np.maximum(e1(np.minimum(v, K * K / 2 * (1 + 1e-9))) - tail, 0)  # beyond that nothing is near
     loss = (sigma * sigma * (1 - np.exp(-x)) + r * r / 2 * over(np.maximum(x, 1e-12))) * unit
     weight = over(np.maximum(r * r, 1e-12) / (2 * sigma * sigma)) * unit
     return np.where(near, loss, sigma * sigma * unit * (1 - math.exp(-K * K / 2))), np.where(near & (r > 0), weight, 0.0)
@@ -174,14 +179,15 @@ def _robust(rows: DataFrame, x: list[str], y: str, sample_rows: int, draws: int,
         fits += [solve(drawn[list(s), :k], drawn[list(s), k]) for s in picked]
     else:
         steps = 0  # a predictor without values: least squares as it is
+    dealt = rows.repartition(-(-n // PART_ROWS))  # a part costs a row for each fit, however few rows it has
     now = np.array(fits)
-    best, sums = now.copy(), _summed(rows, now, sigma)
+    best, sums = now.copy(), _summed(dealt, now, sigma)
     score, inliers = 1 / np.maximum(sums[:, 0], 1e-300) * (sums[:, 0] > 0), sums[:, 1].copy()
     live = np.ones(len(now), bool)
     for _ in range(steps):
         live &= sums[:, 2] >= k
         now = np.array([solve(s[3 : 3 + k * k].reshape(k, k), s[3 + k * k :]) if ok else c for s, c, ok in zip(sums, now, live)])
-        sums = _summed(rows, now, sigma)
+        sums = _summed(dealt, now, sigma)
         better = live & (sums[:, 0] > 0) & (1 / np.maximum(sums[:, 0], 1e-300) > score)
         best[better], score[better], inliers[better] = now[better], 1 / sums[better, 0], sums[better, 1]
     top, limit = 0, len(fits) - 1
