@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from weftline.plans import queries
 from weftline.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +34,13 @@ def test_query_equals_sql(spark, duck, name):
     assert len(a) == len(b) and all(same(x, y) for p, q in zip(a, b) for x, y in zip(p, q))
 
 
+def test_a_target_is_shattered_without_the_horizons_of_others(spark, monkeypatch):
+    seen, rows = [], queries.scc_horizon_rows
+    monkeypatch.setattr(queries, "scc_horizon_rows", lambda s, sf, scc: seen.append({r.graph for r in scc.select("graph").distinct().collect()}) or rows(s, sf, scc))
+    queries.shatter_graph(spark, SF)
+    assert seen == [{3}]
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -389,9 +389,9 @@ SHATTER = HORIZON + """, grp AS (SELECT node, dense_rank() OVER (ORDER BY horizo
  UNION SELECT CAST(t // 40 AS VARCHAR), '3::group_' || a.g FROM dep JOIN sg a ON a.id = s WHERE t // 40 <> 3 UNION SELECT '3::group_' || b.g, CAST(s // 40 AS VARCHAR) FROM dep JOIN sg b ON b.id = t WHERE s // 40 <> 3)""")
 def shatter_graph(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = named_graph(spark, sf)
-    scc = graph.cut(scc_of(spark, sf))
-    grp = graph.dense_groups(scc_horizon_rows(spark, sf, scc).filter("graph = 3")).select(F.col("node").alias("scc"), "grp")
-    sym = graph.cut(scc.filter("graph = 3").join(grp, "scc").select("node", "grp", "cost_ns"))
+    scc = graph.cut(scc_of(spark, sf).filter("graph = 3"))
+    grp = graph.dense_groups(scc_horizon_rows(spark, sf, scc)).select(F.col("node").alias("scc"), "grp")
+    sym = graph.cut(scc.join(grp, "scc").select("node", "grp", "cost_ns"))
     groups = sym.groupBy("grp").agg(F.sum("cost_ns").alias("cost_ns"), F.count("*").alias("symbol_count"))
     e = ws.references(spark, sf)
     a, b = sym.select(F.col("node").alias("s"), F.col("grp").alias("to")), sym.select(F.col("node").alias("t"), F.col("grp").alias("at"))
