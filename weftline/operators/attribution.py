@@ -1,4 +1,4 @@
-"""Compiler time attributed to symbols. events: event_id, parent_id, label, self_ns, raw (the event's first argument)."""
+"""Compiler time attributed to symbols. events: thread, event_id, label, start_ns, end_ns, path (the symbol in the event's first argument, its raw path)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import paths
 
-from .graph import cut
+from . import profile
 
 #: A segment below the level of symbols: closures and the like, anonymous constants, lifetimes, generic parameters.
 BELOW = r"^(?s:\{\{(?!impl\}\}|use\}\}).*|_|_\[.*\]|'.*|[A-Z])$"
@@ -55,22 +55,24 @@ def ancestors(found: DataFrame, symbols: DataFrame, prefix: str) -> DataFrame:
     return above.join(hit, "path", "left").select("path", F.col("m.up").alias("ancestor"))
 
 
-def recorded(events: DataFrame, symbols: DataFrame | None, prefix: str, rounds: int = 64) -> DataFrame:
+def located(rows: DataFrame, symbols: DataFrame | None, prefix: str) -> DataFrame:
+    """rows (raw) with path: the symbol of this crate that each raw path lies in, else null. symbols: path; without them every local path is one.
+
+    A raw path is looked at once for each row: give the distinct ones and join the events to them.
+    """
+    out = rows.withColumn("path", local_path(F.col("raw"), F.lit(prefix)))
+    if symbols is None:
+        return out
+    known = symbols.select(F.col("path").alias("known")).distinct()
+    return out.join(known, out.path == F.col("known"), "left").withColumn("path", F.col("known")).drop("known")
+
+
+def recorded(events: DataFrame) -> DataFrame:
     """event_id, label, self_ns, path: the event's own symbol, else that of the nearest event around it, else null. Events of the profiler itself are left out.
 
-    Chains of parents halve in each round, so that a round count of the logarithm of the depth is enough.
+    Symbols come down to the events within in the pass that nests them, however deep they lie.
     """
-    e = events.withColumn("path", local_path(F.col("raw"), F.lit(prefix)))
-    if symbols is not None:
-        known = symbols.select(F.col("path").alias("known")).distinct()
-        e = e.join(known, e.path == F.col("known"), "left").withColumn("path", F.col("known")).drop("known")
-    e = cut(e.select("event_id", "label", "self_ns", "path", F.when(F.col("path").isNull(), F.col("parent_id")).alias("up")))
-    for _ in range(rounds):
-        if e.filter("up is not null").isEmpty():
-            return e.drop("up").filter(~paths.is_self_profile(F.col("label")))
-        above = e.select(F.col("event_id").alias("up"), F.col("path").alias("theirs"), F.col("up").alias("further"))
-        e = cut(e.join(above, "up", "left").select("event_id", "label", "self_ns", F.coalesce("path", "theirs").alias("path"), F.when(F.coalesce("path", "theirs").isNull(), F.col("further")).alias("up")))
-    raise RuntimeError("parents did not settle")
+    return profile.self_times(events).select("event_id", "label", "self_ns", "path").filter(~paths.is_self_profile(F.col("label")))
 
 
 def attributed(rows: DataFrame) -> DataFrame:

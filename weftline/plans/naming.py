@@ -80,19 +80,18 @@ NESTED = q.PROFILE + RAW + """, st AS (SELECT pe.event_id, par.parent_id, CASE W
  rec AS (SELECT loc.event_id, label, self_ns, (SELECT max(c.path) FROM climb c WHERE c.event_id = loc.event_id) AS path FROM loc WHERE NOT starts_with(label, 'self_profile_'))"""
 
 
-def nested_events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    from weftline.operators import profile
-
-    raw = raw_paths(spark, sf)
-    e = profile.self_times(q.profile_events(spark, sf)).withColumn("label", F.when(F.col("event_id") % 5 == 0, "self_profile_x").otherwise(F.col("label")))
-    e = e.join(raw.select((F.col("id")).alias("r"), "raw"), F.col("event_id") % 200 == F.col("r"), "left")
-    return e.select("event_id", "parent_id", "label", "self_ns", F.when(F.col("event_id") % 3 == 0, F.col("raw")).alias("raw")), raw
+def located_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile events, every third with the symbol of the raw path whose id is the event's modulo 200."""
+    raw, i = raw_paths(spark, sf), F.col("event_id")
+    used = raw.filter("id > -200 and id < 200").select(F.col("id").alias("r"), "raw")  # all remainders
+    at = attribution.located(used, raw.filter("id % 2 = 0").select(F.col("own").alias("path")), "w::").drop("raw")
+    e = q.profile_events(spark, sf).withColumn("label", F.when(i % 5 == 0, "self_profile_x").otherwise(F.col("label")))
+    return e.join(F.broadcast(at), (i % 200 == F.col("r")) & (i % 3 == 0), "left").drop("r")
 
 
 @query(NESTED + " SELECT path, label, CAST(sum(self_ns) AS BIGINT) AS self_ns FROM rec GROUP BY path, label")
 def event_attribution(spark: SparkSession, sf: str) -> DataFrame:
-    e, raw = nested_events(spark, sf)
-    return attribution.attributed(attribution.recorded(e, raw.filter("id % 2 = 0").select(F.col("own").alias("path")), "w::"))
+    return attribution.attributed(attribution.recorded(located_events(spark, sf)))
 
 
 #: Costs of paths around the symbols: their own, below one, in a module, of another crate.
